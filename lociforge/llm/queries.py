@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.llm.leaks import MIN_RUN, leaks
 from lociforge.llm.percentiles import percentiles, site_values, skewed_groups
 from lociforge.llm.pieces import oversized, piece_sites, pieces
 from lociforge.session import table
@@ -33,7 +34,15 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut.join(n, ["block_id", "piece"])
 
 
-QUERIES = {"p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where(F.col("run_words") >= MIN_RUN).select("doc_id", "item_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 def _p4_sql(group: str, targets: list[int]) -> str:
