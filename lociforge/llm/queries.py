@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.llm.clusters import cluster_members, describe_clusters
 from lociforge.llm.leaks import MIN_RUN, leaks
 from lociforge.llm.percentiles import percentiles, site_values, skewed_groups
 from lociforge.llm.pieces import oversized, piece_sites, pieces
 from lociforge.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cluster_members(table(spark, d, "beagle_genos")).select("rec_id", "cluster_id")
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return describe_clusters(cluster_members(table(spark, d, "beagle_genos")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     counts = site_values(table(spark, d, "site_counts"), "run_id")
     return skewed_groups(percentiles(counts, ["run_id", "field"], [5, 50, 95]), "run_id")
@@ -42,7 +51,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where(F.col("run_words") >= MIN_RUN).select("doc_id", "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 def _p4_sql(group: str, targets: list[int]) -> str:
