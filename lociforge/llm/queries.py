@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.clusters import cluster_members, describe_clusters
 from lociforge.llm.leaks import MIN_RUN, leaks
+from lociforge.llm.mixing import mix
 from lociforge.llm.percentiles import percentiles, site_values, skewed_groups
 from lociforge.llm.pieces import oversized, piece_sites, pieces
 from lociforge.session import table
@@ -51,7 +52,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where(F.col("run_words") >= MIN_RUN).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_shares(spark, d).where("falls_short").select("source_name")
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 
 def _p4_sql(group: str, targets: list[int]) -> str:
