@@ -10,6 +10,7 @@ from lociforge.llm.leaks import MIN_RUN, leaks
 from lociforge.llm.mixing import mix
 from lociforge.llm.percentiles import percentiles, site_values, skewed_groups
 from lociforge.llm.pieces import oversized, piece_sites, pieces
+from lociforge.llm.reading import demanding, reading_levels
 from lociforge.session import table
 
 
@@ -64,7 +65,37 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).where("falls_short").select("source_name")
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_runs": _p4("run_id"), "p4_contigs": _p4("ref_id"), "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return demanding(p9_levels(spark, d))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "n_chars")
+    levels = p9_levels(spark, d).join(sources, "doc_id")
+    return levels.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
+    "p4_found": p4_found,
+    "p4_runs": _p4("run_id"),
+    "p4_contigs": _p4("ref_id"),
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
+    "p9_profile": p9_profile,
+}
 
 
 def _p4_sql(group: str, targets: list[int]) -> str:
