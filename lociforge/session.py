@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    made = Path(tempfile.mkdtemp(prefix="lociforge-package-"))
+    shutil.copytree(package, made / "tree" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(made / package.name), "zip", made / "tree"))
+    _SHIPPED.add(sc.applicationId)
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
