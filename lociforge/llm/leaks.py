@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.words import Buckets, summed, words
 
-#: Hashed vocabulary, retained dimensions and oversampling of the randomised SVD: what is broadcast has this size at any scale.
-FEATURES, RANK, OVER = 1 << 16, 32, 8
+#: Hashed vocabulary, retained dimensions and oversampling of the randomised SVD, and dimensions of the sketch of what it leaves
+#: out: what is broadcast has this size at any scale.
+FEATURES, RANK, OVER, REST = 1 << 16, 32, 8, 32
 #: A run of MIN_RUN common words holds a whole window of WINDOW words that starts at a multiple of MIN_RUN - WINDOW + 1.
 MIN_RUN, WINDOW = 10, 5
 #: Least cosine of candidates; windows of equal words have cosine 1.
@@ -26,7 +27,7 @@ _OUT = "doc_id bigint, item_id bigint, run_words int, lcs_share double, answer_s
 
 @dataclass
 class Latent:
-    """The fitted space: vectors of hashed words (idf times right singular vector) and the idf itself."""
+    """The fitted space: vectors of hashed words (idf times right singular vector and sketch of the residual) and the idf itself."""
 
     vectors: np.ndarray
     idf: np.ndarray
@@ -83,8 +84,11 @@ def fit(docs: DataFrame, text: str = "text", seed: int = 7) -> Latent:
     df = sums[:, 0]
     # no feature is in more documents than there are, and the idf needs the number only up to a constant
     idf = np.log((1 + max(df.max(), 1)) / (1 + df)) + 1
-    left, _, _ = np.linalg.svd(sums[:, 1:] * idf[:, None], full_matrices=False)
-    return Latent((idf[:, None] * left[:, :RANK]).astype(np.float32), idf.astype(np.float32))
+    left = np.linalg.svd(sums[:, 1:] * idf[:, None], full_matrices=False)[0][:, :RANK]
+    # rare words, names above all, lie almost wholly outside of the leading dimensions: a random sketch of the rest keeps them apart
+    test = np.random.default_rng(seed + 1).standard_normal((FEATURES, REST)) / np.sqrt(REST)
+    rest = test - left @ (left.T @ test)
+    return Latent((idf[:, None] * np.hstack([left, rest])).astype(np.float32), idf.astype(np.float32))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -143,25 +147,26 @@ class _Items:
         q = np.vstack(qs).astype(np.float32)
         self.item, self.pos = np.array(self.item), np.array(self.pos)
         self.centres = _centres(q, max(1, min(256, len(q) // 16)))
-        # each query window stands in the lists of its two nearest centres, and a corpus window looks into its two nearest: equal
+        # each query window stands in the lists of its two nearest centres, and a corpus window looks into its nearest: equal
         # windows meet even if rounding ranks two centres differently
-        near = self._near(q)
+        s = q @ self.centres.T
+        best = s.argmax(axis=1)
+        s[np.arange(len(q)), best] = -2
+        second = s.argmax(axis=1)
         self.lists = []
         for c in range(len(self.centres)):
-            m = np.flatnonzero((near == c).any(axis=1))
+            m = np.flatnonzero((best == c) | (second == c))
             self.lists.append((m, q[m]))
 
-    def _near(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.centres.T
-        return np.argpartition(-s, 1, axis=1)[:, :2] if s.shape[1] > 2 else np.tile(np.arange(s.shape[1]), (len(x), 1))
-
     def candidates(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        near = self._near(x)
+        near = (x @ self.centres.T).argmax(axis=1)
+        order = np.argsort(near, kind="stable")
+        cuts = np.searchsorted(near[order], np.arange(len(self.lists) + 1))
         rows, hits = [], []
         for c, (m, q) in enumerate(self.lists):
-            if not len(m):
+            r = order[cuts[c] : cuts[c + 1]]
+            if not len(m) or not len(r):
                 continue
-            r = np.flatnonzero((near == c).any(axis=1))
             for lo in range(0, len(r), 8192):
                 a, b = np.nonzero(x[r[lo : lo + 8192]] @ q.T >= cosine)
                 rows.append(r[lo + a])
@@ -218,8 +223,8 @@ def _search(spark: SparkSession, docs: DataFrame, queries: _Items, latent: Laten
                 for r, h in zip(rows.tolist(), hits.tolist()):
                     d, item, j = int(own[lo + r]), int(q.item[h]), int(q.pos[h])
                     state = pairs.setdefault((d, item), [0, set()])
-                    state[1].add(j)
                     a, b, i = texts[d], q.words[item], int(s[lo + r]) - offset[d]
+                    state[1].add((i - j) // max(1, len(b) // 2))
                     if a[i : i + WINDOW] != b[j : j + WINDOW]:
                         continue
                     x, y = 0, WINDOW
@@ -229,15 +234,15 @@ def _search(spark: SparkSession, docs: DataFrame, queries: _Items, latent: Laten
                         y += 1
                     state[0] = max(state[0], x + y)
             out = []
-            for (d, item), (longest, near) in pairs.items():
+            for (d, item), (longest, places) in pairs.items():
                 b = q.words[item]
-                # too few windows alike for a paraphrase of most of the item: at the stride used, windows alike to 0.8 of it number more
-                likely = len(near) * stride * 2 >= len(b)
-                if longest < MIN_RUN and not likely:
-                    continue
-                share = lcs(b, texts[d]) / len(b)
+                # the stretches where the item would lie if an alike window is part of it, with half its length to either side
+                half = max(1, len(b) // 2)
+                near = [texts[d][max(0, (k - 1) * half) : (k + 2) * half + len(b)] for k in sorted(places)]
+                share, close = max((lcs(b, x), x) for x in near)
+                share /= len(b)
                 rare = q.rare[item]
-                answer = len(rare & set(texts[d])) / max(1, len(rare))
+                answer = len(rare & set(close)) / max(1, len(rare))
                 if longest >= MIN_RUN or (share >= 0.8 and answer >= 0.6):
                     out.append((ids[d], q.ids[item], longest, share, answer))
             if out:
