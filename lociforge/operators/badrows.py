@@ -20,8 +20,10 @@ _POSI, _ALLELE, _FREQ, _STRAND = (re.compile(x) for x in (POSI, ALLELE, FREQ, ST
 _READ = pacsv.ReadOptions(column_names=FIELDS, use_threads=False)
 _PARSE = pacsv.ParseOptions(quote_char='"', double_quote=True, newlines_in_values=False, ignore_empty_lines=False)
 _CONVERT = pacsv.ConvertOptions(column_types=dict.fromkeys(FIELDS, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False, check_utf8=False)
-#: Blocks no longer than this are diagnosed record by record instead of being halved again.
-LEAF = 8
+#: Blocks no longer than this are diagnosed record by record instead of being halved again: a call of the reader costs as much.
+LEAF = 32
+#: Largest block; block sizes double after a clean block and are halved after one with failures.
+LARGEST = 8192
 
 
 def split_record(line: str) -> list[str] | None:
@@ -135,8 +137,8 @@ def parse_block(lines: pa.Array) -> tuple[list[pa.Array], pa.Array]:
 def parse_records(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] = ("line_id",), block: int = 256) -> DataFrame:
     """Every input row once: ``keep`` columns, the typed fields, and ``reason`` (null where the record is valid).
 
-    Blocks of ``block`` records go through a columnar CSV reader; a block that isn't valid as a whole is halved until the bad
-    records stand alone, and those are diagnosed strictly.  Valid rows have typed fields, failing rows nulls and the first
+    Blocks of records (``block`` at first) go through a columnar CSV reader; a block that isn't valid as a whole is halved until its bad
+    records stand among at most LEAF, which are diagnosed strictly one by one.  Valid rows have typed fields, failing rows nulls and the first
     reason that holds: quoting, column_count, posi, allele1, freq, strand, allele2.  Null and empty records fail with
     column_count; repeated records all count; records of any length are read whole; columns not in ``keep`` are ignored.
     There is no shuffle: each input partition is read once.
@@ -149,10 +151,14 @@ def parse_records(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] =
     n_keep = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = block
         for b in batches:
-            for at in range(0, b.num_rows, block):
-                part = b.slice(at, block)
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, size)
                 cols, reason = parse_block(part.column(n_keep).cast(pa.string()))
+                at += size
+                size = min(2 * size, LARGEST) if reason.null_count == len(reason) else max(size // 2, 2 * LEAF)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keep)), *cols, reason], names)
 
     return df.select(*keep, df[line].alias("__line")).mapInArrow(run, schema)
