@@ -69,12 +69,12 @@ def tokens(text: str) -> list[str]:
 def features(text: str, bucket: Buckets, logshare: np.ndarray) -> np.ndarray | None:
     """The feature vector of one text, None without any word."""
     text = clean(text)
-    ws = tokens(text)
+    parts = [x for s in _SENTENCE.split(text) if (x := tokens(s))]
+    ws = [w for x in parts for w in x]
     n = len(ws)
     if not n:
         return None
-    sentences = [len(tokens(s)) for s in _SENTENCE.split(text)]
-    sentences = [s for s in sentences if s] or [n]
+    sentences = [len(x) for x in parts]
     n_s = len(sentences)
     length = np.fromiter(map(len, ws), np.float64, n)
     rare = logshare[bucket(ws)]
