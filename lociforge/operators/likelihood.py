@@ -53,7 +53,7 @@ def effective_size(gl: DataFrame) -> DataFrame:
 
 def pair_scores(gl: DataFrame) -> DataFrame:
     """Log likelihood of each pair of alleles at each position, with Hardy-Weinberg weights 1/4, 1/2, 1/4: columns s01 ... s23."""
-    g = [F.element_at("gl", i + 1) for i in range(10)]
+    g = [F.get("gl", F.lit(i)) for i in range(10)]
     score = {(a, b): F.sum(logsumexp([g[genotype(a, a)], g[genotype(a, b)] + 0.6931471805599453, g[genotype(b, b)]]) - 1.3862943611198906) for a, b in PAIRS}
     return gl.where(informative()).groupBy(*SITE).agg(*(s.alias(f"s{a}{b}") for (a, b), s in score.items()), F.count(F.lit(1)).alias("keep"))
 
@@ -63,7 +63,7 @@ def best_pair(scores: DataFrame) -> DataFrame:
     top = F.greatest(*(F.struct(F.round(F.col(f"s{a}{b}"), 9).alias("s"), F.lit(-k).alias("k")) for k, (a, b) in enumerate(PAIRS)))
     k = -top["k"]
     first, second = F.array(*(F.lit(a) for a, _ in PAIRS)), F.array(*(F.lit(b) for _, b in PAIRS))
-    return scores.select(*SITE, "keep", F.element_at(first, k + 1).alias("major"), F.element_at(second, k + 1).alias("minor"))
+    return scores.select(*SITE, "keep", F.get(first, k).alias("major"), F.get(second, k).alias("minor"))
 
 
 def best_minor(scores: DataFrame, major: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def best_minor(scores: DataFrame, major: DataFrame) -> DataFrame:
 
 def three(gl: DataFrame, alleles: DataFrame) -> DataFrame:
     """Likelihoods (linear, largest 1) of major/major, major/minor and minor/minor: ``l0, l1, l2`` of informative samples."""
-    lut = F.array(*(F.lit(genotype(a, b) + 1) for a in range(4) for b in range(4)))
+    lut = F.array(*(F.lit(genotype(a, b)) for a in range(4) for b in range(4)))
 
     def at(a: str, b: str) -> Column:
-        return F.element_at("gl", F.element_at(lut, F.col(a) * 4 + F.col(b) + 1))
+        return F.get("gl", F.get(lut, F.col(a) * 4 + F.col(b)))
 
     j = gl.join(alleles.select(*SITE, "major", "minor"), SITE)
     logs = [at("major", "major"), at("major", "minor"), at("minor", "minor")]
@@ -132,7 +132,7 @@ def drop_transitions(sites: DataFrame) -> DataFrame:
 
 def psmc_likelihoods(gl: DataFrame, transversions: bool = False) -> DataFrame:
     """Log likelihood of a homozygous and of a heterozygous site, summed over the genotypes of each kind."""
-    g = [F.element_at("gl", i + 1) for i in range(10)]
+    g = [F.get("gl", F.lit(i)) for i in range(10)]
     hets = [(a, b) for a, b in PAIRS if not (transversions and abs(a - b) == 2)]
     hom = logsumexp([g[genotype(a, a)] for a in range(4)]) - F.log(F.lit(4.0))
     return gl.select(*SITE, "sample", hom.alias("hom"), (logsumexp([g[genotype(a, b)] for a, b in hets]) - F.log(F.lit(float(len(hets))))).alias("het"))
