@@ -162,7 +162,9 @@ def latent_em(post: np.ndarray, y: np.ndarray, z: np.ndarray, kind: str, codes:
 
 
 def regress(post: DataFrame, pheno: DataFrame, method: str = "dosage", kind: str = "normal", model: str = "add", covariates: tuple[str, ...] = (), hybrid_p: float = 0.05) -> DataFrame:
-    """``chr, pos, n, lrt, beta, se``: regression of the phenotype on genotypes with covariates, one small problem for each position.
+    """``chr, pos, n, lrt, beta, se, sxx``: regression of the phenotype on genotypes with covariates, one small problem for each position.
+
+    ``sxx`` is the sum of squares of the expected genotypes about their mean: how much there is to regress on.
 
     ``dosage`` uses expected genotypes, ``latent`` an EM over the genotypes, ``hybrid`` the latent model only where the dosage test is
     below ``hybrid_p``, ``wald`` reports (beta / se)^2 of the dosage model.  ``kind``: normal, logistic or poisson.
@@ -175,10 +177,14 @@ def regress(post: DataFrame, pheno: DataFrame, method: str = "dosage", kind: str
     g = g.select(*SITE, F.size("r").alias("n"), F.flatten(F.transform("r", lambda r: F.concat(F.array(r["p0"], r["p1"], r["p2"]), r["x"]))).alias("v"))
     width = 4 + len(covariates)
 
-    def one(v: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    def one(v: np.ndarray) -> tuple:
         v = v.reshape(-1, width)
         p, y, z = v[:, :3], v[:, 3], np.column_stack([np.ones(len(v)), v[:, 4:]])
-        if len(v) <= z.shape[1] + 1 or np.ptp(y) == 0 or np.ptp(p @ codes) < 1e-12:
+        e = p @ codes
+        return *effect(p, y, z), float(((e - e.mean()) ** 2).sum())
+
+    def effect(p: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[float | None, float | None, float | None]:
+        if len(y) <= z.shape[1] + 1 or np.ptp(y) == 0 or np.ptp(p @ codes) < 1e-12:
             return None, None, None
         x = np.column_stack([p @ codes, z])
         if kind == "normal":
@@ -199,8 +205,8 @@ def regress(post: DataFrame, pheno: DataFrame, method: str = "dosage", kind: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(np.asarray(v.values)) for v in b["v"]]
-            cols = list(zip(*got)) if got else [()] * 3
-            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], b["n"], *(pa.array(c, pa.float64()) for c in cols)], ["chr", "pos", "n", "lrt", "beta", "se"])
+            cols = list(zip(*got)) if got else [()] * 4
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], b["n"], *(pa.array(c, pa.float64()) for c in cols)], ["chr", "pos", "n", "lrt", "beta", "se", "sxx"])
 
     t = dict(g.dtypes)
-    return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, n int, lrt double, beta double, se double")
+    return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, n int, lrt double, beta double, se double, sxx double")

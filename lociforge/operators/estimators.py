@@ -135,9 +135,12 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.flatten().fill_null(0.0), dtype=np.float64), sizes // 3
 
 
-def frequencies(sites: DataFrame, rounds: int = ROUNDS, tol: float = TOLERANCE) -> DataFrame:
-    """Adds to positions with ``l3``: ``freq`` (EM), ``lrt`` and ``p_value`` of being variable.  Positions without samples get 0."""
-    cols = [c for c in sites.columns if c not in ("l3", "samples")]
+def frequencies(sites: DataFrame, rounds: int = ROUNDS, tol: float = TOLERANCE, keep_samples: bool = False) -> DataFrame:
+    """Adds to positions with ``l3``: ``freq`` (EM), ``lrt`` and ``p_value`` of being variable.  Positions without samples get 0.
+
+    With ``keep_samples`` the likelihoods stay, so that posteriors need no join back to them.
+    """
+    cols = [c for c in sites.columns if keep_samples or c not in ("l3", "samples")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -94,12 +94,12 @@ def collected(l3: DataFrame) -> DataFrame:
 
 
 def posterior(l3: DataFrame, freq: DataFrame | None = None) -> DataFrame:
-    """Genotype posteriors ``p0, p1, p2``: with a table chr, pos, freq under Hardy-Weinberg, otherwise under a uniform prior."""
-    if freq is None:
+    """Genotype posteriors ``p0, p1, p2``: with a table chr, pos, freq, or a column ``freq``, under Hardy-Weinberg, otherwise under a uniform prior."""
+    if freq is None and "freq" not in l3.columns:
         w = [F.col("l0"), F.col("l1"), F.col("l2")]
         rows = l3
     else:
-        rows = l3.join(freq.select(*SITE, "freq"), SITE)
+        rows = l3 if freq is None else l3.join(freq.select(*SITE, "freq"), SITE)
         p = F.col("freq")
         w = [F.col("l0") * (1 - p) * (1 - p), F.col("l1") * 2 * p * (1 - p), F.col("l2") * p * p]
     total = w[0] + w[1] + w[2]

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -290,3 +291,44 @@ def heteroplasmy(reads: DataFrame, rounds: int = 100, tol: float = 1e-6) -> Data
 
     t = dict(g.dtypes)
     return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, sample {t['sample']}, depth int, f0 double, f1 double, f2 double, f3 double, lrt double")
+
+
+def likelihood_sites(gl: DataFrame) -> DataFrame:
+    """``chr, pos, keep, major, minor, n, samples, l3``: best pair of alleles and the samples' likelihoods under it, in one pass.
+
+    The same as ``best_pair(pair_scores(gl))``, ``three`` and ``collected`` in a row, without joining the likelihoods back: one shuffle
+    brings a position's samples together, and a kernel does the rest.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("sample", "gl")))
+    g = gl.where(F.array_max("gl") - F.array_min("gl") > 1e-9).groupBy(*SITE).agg(rows.alias("r"))
+    g = g.select(*SITE, F.col("r.sample").alias("samples"), F.flatten("r.gl").alias("gls"))
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    lut = np.array([[genotype(a, b) for b in range(4)] for a in range(4)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = np.array(pairs).T
+        for b in batches:
+            sizes = np.asarray(pc.list_value_length(b["samples"]))
+            gls = np.asarray(b["gls"].flatten()).reshape(-1, 10)
+            r = Ragged(np.zeros(3 * len(gls)), sizes)
+            score = np.stack([r.sum(np.logaddexp(np.logaddexp(gls[:, lut[a, a]], gls[:, lut[a, c]] + np.log(2)), gls[:, lut[c, c]])) for a, c in pairs], axis=1)
+            k = np.round(score - 2 * np.log(2) * sizes[:, None], 9).argmax(axis=1)
+            major, minor = first[k], second[k]
+            at, i, j = np.arange(len(gls)), major[r.site], minor[r.site]
+            logs = np.stack([gls[at, lut[i, i]], gls[at, lut[i, j]], gls[at, lut[j, j]]], axis=1)
+            tells = logs.max(axis=1) - logs.min(axis=1) > 1e-9
+            l3 = np.exp(logs - logs.max(axis=1, keepdims=True))[tells]
+            n = r.sum(tells.astype(float)).astype(np.int32)
+            ends = np.r_[0, np.cumsum(n)].astype(np.int32)
+            samples = pa.ListArray.from_arrays(pa.array(ends), b["samples"].flatten().filter(pa.array(tells)))
+            flat = pa.ListArray.from_arrays(pa.array(3 * ends), pa.array(l3.ravel()))
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], pa.array(sizes.astype(np.int64)), pa.array(major.astype(np.int32)), pa.array(minor.astype(np.int32)), pa.array(n), samples, flat], [*SITE, "keep", "major", "minor", "n", "samples", "l3"])
+
+    t = dict(g.dtypes)
+    return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, keep bigint, major int, minor int, n int, samples {t['samples']}, l3 array<double>")
+
+
+def long_likelihoods(sites: DataFrame, *more: str) -> DataFrame:
+    """One row for each sample of positions with ``samples`` and ``l3``: ``chr, pos, major, minor, sample, l0, l1, l2`` and further columns."""
+    cut = F.transform("samples", lambda s, i: F.struct(s.alias("sample"), *(F.get("l3", 3 * i + k).alias(f"l{k}") for k in range(3))))
+    return sites.select(*SITE, "major", "minor", *more, F.explode(cut).alias("__r")).select(*SITE, "major", "minor", *more, "__r.*")

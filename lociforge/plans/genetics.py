@@ -11,6 +11,7 @@ from lociforge.operators import association as A
 from lociforge.operators import counting as C
 from lociforge.operators import estimators as E
 from lociforge.operators import likelihood as L
+from lociforge.operators import models as M
 from lociforge.operators import pairs as P
 from lociforge.operators import spectrum as S
 from lociforge.plans.counting import _COUNTS, _SAMPLED
@@ -71,13 +72,16 @@ def _gl(spark: SparkSession, d: str) -> DataFrame:
     return L.gl_gatk(pileup(spark, d))
 
 
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    return M.likelihood_sites(_gl(spark, d))
+
+
 def _l3(spark: SparkSession, d: str) -> DataFrame:
-    gl = _gl(spark, d)
-    return L.three(gl, _alleles(gl))
+    return M.long_likelihoods(_sites(spark, d))
 
 
-def _freq(l3: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    return E.frequencies(L.collected(l3), rounds, 0.0)
+def _freq(spark: SparkSession, d: str, keep_samples: bool = False) -> DataFrame:
+    return E.frequencies(_sites(spark, d), ROUNDS, 0.0, keep_samples)
 
 
 @query(_GL + "select chr, pos, sample, " + ", ".join(f"round(g[{i + 1}], 5) + 0 as g{i}" for i in range(10)) + " from g")
@@ -117,14 +121,14 @@ def major_fixed_reference(spark: SparkSession, d: str) -> DataFrame:
 @query(_EM + """select chr, pos, major, minor, len(ls)::int as n, round(freq, 4) + 0 as freq, round(greatest(0, 2 * (
 list_sum(list_transform(ls, lambda x: ln(x.a * (1 - freq) * (1 - freq) + x.b * 2 * freq * (1 - freq) + x.c * freq * freq))) - list_sum(list_transform(ls, lambda x: ln(greatest(x.a, 1e-300)))))), 3) + 0 as lrt from f""")
 def maf_em(spark: SparkSession, d: str) -> DataFrame:
-    f = _freq(_l3(spark, d))
+    f = _freq(spark, d)
     return rounded(rounded(f.select("chr", "pos", "major", "minor", "n", "freq", "lrt"), "freq", digits=4), "lrt", digits=3)
 
 
 @query(_EM + f"""select chr, pos, major, minor, round(freq, 4) as freq from f where greatest(0, 2 * (
 list_sum(list_transform(ls, lambda x: ln(x.a * (1 - freq) * (1 - freq) + x.b * 2 * freq * (1 - freq) + x.c * freq * freq))) - list_sum(list_transform(ls, lambda x: ln(greatest(x.a, 1e-300)))))) >= {E.chi2_threshold(1e-6)!r} and abs(major - minor) <> 2 and freq between 0.05 and 0.95""")
 def filter_snps(spark: SparkSession, d: str) -> DataFrame:
-    f = L.drop_transitions(_freq(_l3(spark, d)))
+    f = L.drop_transitions(_freq(spark, d))
     f = f.where((F.col("lrt") >= E.chi2_threshold(1e-6)) & F.col("freq").between(0.05, 0.95))
     return rounded(f.select("chr", "pos", "major", "minor", "freq"), "freq", digits=4)
 
@@ -134,8 +138,7 @@ post as (select chr, pos, sample, major, minor, a / (a + b + c) as p0, b / (a +
 
 
 def _post(spark: SparkSession, d: str) -> DataFrame:
-    l3 = _l3(spark, d)
-    return L.posterior(l3, _freq(l3))
+    return L.posterior(M.long_likelihoods(_freq(spark, d, True), "freq"))
 
 
 @query(_POST + "select chr, pos, sample, major, minor, round(p0, 4) + 0 as p0, round(p1, 4) + 0 as p1, round(p2, 4) + 0 as p2 from post")
@@ -172,7 +175,7 @@ def beagle_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hwe_test(spark: SparkSession, d: str) -> DataFrame:
-    h = E.hardy_weinberg(L.collected(_l3(spark, d)))
+    h = E.hardy_weinberg(_sites(spark, d))
     return rounded(h.select("chr", "pos", "major", "minor", "hwe_freq", "freq", "f", "lrt", "p_value", "het_freq"), "hwe_freq", "freq", "f", "lrt", "p_value", "het_freq", digits=4)
 
 
@@ -327,23 +330,21 @@ def association_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_POST + """, ph as (select l_suppkey % 10 as sample, any_value(((l_suppkey % 10) * 7 % 5)::double) as y from lineitem group by 1), x as (select chr, pos, p1 + 2 * p2 as e, y from post join ph using (sample)),
-s as (select chr, pos, count(*)::int as n, regr_slope(y, e) as beta, regr_syy(y, e) as syy, regr_sxx(y, e) as sxx, regr_sxy(y, e) as sxy from x group by all having count(*) > 3 and max(e) - min(e) > 0.001 and max(y) > min(y))
+s as (select chr, pos, count(*)::int as n, regr_slope(y, e) as beta, regr_syy(y, e) as syy, regr_sxx(y, e) as sxx, regr_sxy(y, e) as sxy from x group by all having count(*) > 3 and max(y) > min(y))
 select chr, pos, n, round(beta, 2) + 0 as beta from s where sxx > 0.05""")
 def association_dosage(spark: SparkSession, d: str) -> DataFrame:
-    post = _post(spark, d)
-    wide = post.groupBy("chr", "pos").agg((F.var_pop(F.col("p1") + 2 * F.col("p2")) * F.count(F.lit(1))).alias("sxx"), (F.max(F.col("p1") + 2 * F.col("p2")) - F.min(F.col("p1") + 2 * F.col("p2"))).alias("span"))
-    r = A.regress(post, _pheno(spark)).where("lrt is not null and n > 3").join(wide.where("sxx > 0.05 and span > 0.001"), ["chr", "pos"])
+    r = A.regress(_post(spark, d), _pheno(spark)).where("lrt is not null and n > 3 and sxx > 0.05")
     return rounded(r.select("chr", "pos", "n", "beta"), "beta", digits=2)
 
 
 @query()
 def association_latent(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.regress(_post(spark, d), _pheno(spark), "latent", covariates=("cov1",)), "lrt", "beta", "se", digits=3)
+    return rounded(A.regress(_post(spark, d), _pheno(spark), "latent", covariates=("cov1",)).drop("sxx"), "lrt", "beta", "se", digits=3)
 
 
 @query()
 def association_hybrid_binary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.regress(_post(spark, d), _pheno(spark).drop("y").withColumnRenamed("sex", "y"), "hybrid", "logistic"), "lrt", "beta", "se", digits=3)
+    return rounded(A.regress(_post(spark, d), _pheno(spark).drop("y").withColumnRenamed("sex", "y"), "hybrid", "logistic").drop("sxx"), "lrt", "beta", "se", digits=3)
 
 
 @query()

@@ -12,7 +12,7 @@ from lociforge.operators import likelihood as L
 from lociforge.operators import models as M
 from lociforge.operators import quality as Q
 from lociforge.operators import spectrum as S
-from lociforge.plans.genetics import _BEST, _GL, NEUTRAL, _alleles, _gl, _l3, rounded
+from lociforge.plans.genetics import _BEST, _GL, NEUTRAL, _alleles, _gl, _l3, _sites, rounded
 from lociforge.plans.pileup import CTE, SAMPLES, pileup
 
 QUERIES, SQL = {}, {}
@@ -77,7 +77,7 @@ def saf_any_minor(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def posterior_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.spectrum_posterior(L.collected(_l3(spark, d)), NEUTRAL, 10), "p0", "p1", "p2", digits=4)
+    return rounded(M.spectrum_posterior(_sites(spark, d), NEUTRAL, 10), "p0", "p1", "p2", digits=4)
 
 
 @query()
@@ -99,17 +99,16 @@ select s.chr, s.pos, a as n_major_fwd, b as n_minor_fwd, c as n_major_rev, d as
 round(zq.z, 5) + 0 as z_qs, round(zm.z, 5) + 0 as z_mapq, round(ze.z, 5) + 0 as z_edge from s join zq using (chr, pos) join zm using (chr, pos) join ze using (chr, pos)""")
 def site_statistics(spark: SparkSession, d: str) -> DataFrame:
     r = pileup(spark, d)
-    s = Q.site_statistics(r, _alleles(L.gl_gatk(r)))
+    s = Q.site_statistics(r, M.likelihood_sites(L.gl_gatk(r)))
     return rounded(s.drop("sb2", "sb3_p"), "sb1", "z_qs", "z_mapq", "z_edge")
 
 
 @query()
 def site_statistics_exact(spark: SparkSession, d: str) -> DataFrame:
     r = pileup(spark, d)
-    gl = L.gl_gatk(r)
-    alleles = _alleles(gl)
-    hets = L.call_genotypes(L.posterior(L.three(gl, alleles)), 0.9).where("geno = 1")
-    return rounded(Q.site_statistics(r, alleles, hets).select("chr", "pos", "sb2", "sb3_p", "het_bias_p"), "sb2", "sb3_p", "het_bias_p")
+    sites = M.likelihood_sites(L.gl_gatk(r))
+    hets = L.call_genotypes(L.posterior(M.long_likelihoods(sites)), 0.9).where("geno = 1")
+    return rounded(Q.site_statistics(r, sites, hets).select("chr", "pos", "sb2", "sb3_p", "het_bias_p"), "sb2", "sb3_p", "het_bias_p")
 
 
 @query(_GL + """, p as (select chr, pos, sample, ln((exp(g[1]) + exp(g[5]) + exp(g[8]) + exp(g[10])) / 4) as hom, ln((exp(g[2]) + exp(g[3]) + exp(g[4]) + exp(g[6]) + exp(g[7]) + exp(g[9])) / 6) as het from g)
