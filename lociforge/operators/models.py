@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -332,3 +333,54 @@ def long_likelihoods(sites: DataFrame, *more: str) -> DataFrame:
     """One row for each sample of positions with ``samples`` and ``l3``: ``chr, pos, major, minor, sample, l0, l1, l2`` and further columns."""
     cut = F.transform("samples", lambda s, i: F.struct(s.alias("sample"), *(F.get("l3", 3 * i + k).alias(f"l{k}") for k in range(3))))
     return sites.select(*SITE, "major", "minor", *more, F.explode(cut).alias("__r")).select(*SITE, "major", "minor", *more, "__r.*")
+
+
+def gl_outgroup(reads: DataFrame, rates: DataFrame, quality_step: int = 5) -> DataFrame:
+    """``chr, pos, sample, gl`` with the error rates of ``outgroup_rates``; strata without a rate use the stated quality."""
+    keys = ["place", "five_prime", "is_rev", "qbin"]
+    wide = rates.groupBy(*keys).agg(*(F.max(F.when((F.col("ref") == a) & (F.col("base") == b), F.col("rate"))).alias(f"r{a}{b}") for a in range(4) for b in range(4)))
+    r = reads.where("base between 0 and 3").withColumns({"place": F.least("posi", "isop"), "five_prime": F.col("posi") <= F.col("isop"), "qbin": F.floor(F.col("qs") / quality_step)})
+    j = r.join(wide, keys, "left")
+    e = F.pow(F.lit(10.0), -F.col("qs") / 10.0)
+    p = [F.coalesce(F.get(F.array(*(F.col(f"r{a}{b}") for b in range(4))), F.col("base")), F.when(F.col("base") == a, 1 - e).otherwise(e / 3)) for a in range(4)]
+    j = j.select(*SITE, "sample", *(x.alias(f"q{a}") for a, x in enumerate(p)))
+    g = j.groupBy(*SITE, "sample").agg(*(F.sum(F.log((F.col(f"q{a}") + F.col(f"q{c}")) / 2)).alias(f"g{i}") for i, (a, c) in enumerate(GENOTYPES)))
+    top = F.greatest(*(F.col(f"g{i}") for i in range(10)))
+    return g.select(*SITE, "sample", F.array(*(F.col(f"g{i}") - top for i in range(10))).alias("gl"))
+
+
+def allele_set_calls(sites: DataFrame, theta: float = 1.1e-3) -> DataFrame:
+    """``chr, pos, alleles, qual, n``: the likeliest set of one, two or three alleles of positions with ``gls`` and major (reference).
+
+    A set's likelihood takes genotypes of its alleles under Hardy-Weinberg at the EM frequencies; each further allele costs the prior
+    theta times the harmonic number of the chromosomes.  ``qual`` is the Phred-scaled chance that the position is as the reference.
+    """
+    sets = [s for k in (1, 2, 3) for s in combinations(range(4), k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, _ = _flat(b["gls"])
+            gls, sizes, ref = flat.reshape(-1, 10), np.asarray(b["n"]), np.asarray(b["major"])
+            r = Ragged(np.zeros(3 * len(gls)), sizes)
+            f, _ = four_frequencies(r, gls)
+            extra = np.log(theta * np.array([sum(1 / i for i in range(1, max(2, 2 * int(m)))) for m in sizes]))
+            score = []
+            for s in sets:
+                own = np.zeros(4)
+                own[list(s)] = 1
+                p = np.maximum(f * own, 1e-12 * own)
+                p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+                prior = np.stack([p[:, a] * p[:, c] * (1 if a == c else 2) for a, c in GENOTYPES], axis=1)
+                lik = r.sum(np.log(np.maximum((np.exp(gls) * prior[r.site]).sum(axis=1), 1e-300)))
+                more = np.array([len(set(s) - {int(x)}) for x in ref])
+                score.append(lik + more * extra)
+            score = np.stack(score, axis=1)
+            best = score.argmax(axis=1)
+            total = np.logaddexp.reduce(score, axis=1)
+            alone = score[np.arange(len(ref)), [sets.index((int(x),)) for x in ref]]
+            qual = np.clip(-10 / math.log(10) * (alone - total), 0, 999)
+            names = pa.array(["".join("ACGT"[x] for x in sets[k]) for k in best])
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], names, pa.array(qual), b["n"]], [*SITE, "alleles", "qual", "n"])
+
+    t = dict(sites.dtypes)
+    return sites.where("major between 0 and 3").select(*SITE, "major", "n", "gls").mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, alleles string, qual double, n int")

@@ -256,3 +256,53 @@ def branch_statistics(f01: float, f02: float, f12: float) -> tuple[float, float,
     """Population branch statistics of three populations from their pairwise indices."""
     t01, t02, t12 = (-np.log(1 - f) for f in (f01, f02, f12))
     return (t01 + t02 - t12) / 2, (t01 + t12 - t02) / 2, (t02 + t12 - t01) / 2
+
+
+def block_spectra(saf: DataFrame, size: int, dim: int, rounds: int = 50) -> DataFrame:
+    """``chr, block, n_sites, sfs``: the spectrum of each run of ``size`` consecutive positions of a contig.
+
+    Positions are numbered per (contig, tile) and tiles by a running sum of their sizes, so no task numbers a whole contig.
+    """
+    tile = F.floor(F.col("pos") / 1_000_000)
+    t = saf.withColumn("__t", tile)
+    per = t.groupBy("chr", "__t").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("chr").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumn("__k", F.row_number().over(Window.partitionBy("chr", "__t").orderBy("pos")) - 1)
+    t = t.join(per.select("chr", "__t", before.alias("__b")), ["chr", "__t"]).withColumn("block", F.floor((F.col("__b") + F.col("__k")) / size))
+    g = t.groupBy("chr", "block").agg(F.flatten(F.collect_list("saf")).alias("s"), F.count(F.lit(1)).alias("n_sites"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s in b["s"]:
+                like = np.exp(np.asarray(s.values, dtype=np.float64).reshape(-1, dim))
+                x = np.full(dim, 1 / dim)
+                for _ in range(rounds):
+                    post = like * x
+                    new = (post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300)).mean(axis=0)
+                    if np.abs(new - x).max() < 1e-8:
+                        break
+                    x = new
+                out.append(x * len(like))
+            yield pa.RecordBatch.from_arrays([b["chr"], b["block"], b["n_sites"], pa.array(out, pa.list_(pa.float64()))], ["chr", "block", "n_sites", "sfs"])
+
+    return g.select("chr", "block", "n_sites", "s").mapInArrow(run, f"chr {dict(saf.dtypes)['chr']}, block bigint, n_sites bigint, sfs array<double>")
+
+
+def check_positions(saf: DataFrame) -> DataFrame:
+    """Positions that occur more than once (none in a sound table)."""
+    return saf.groupBy("chr", "pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def concatenated(safs: list[DataFrame]) -> DataFrame:
+    """Tables of different regions of one population as one; a position in two of them is an error that ``check_positions`` shows."""
+    return reduce(DataFrame.unionByName, safs)
+
+
+def variable_sites(safs: list[DataFrame], spectra: list[np.ndarray]) -> DataFrame:
+    """Likeliest allele count of each population at positions where not all are fixed for the same allele: ``chr, pos, bin0, bin1, ...``."""
+    bins = [likeliest_count(s, x).withColumnRenamed("bin", f"bin{i}") for i, (s, x) in enumerate(zip(safs, spectra))]
+    t = reduce(lambda a, b: a.join(b, ["chr", "pos"]), bins)
+    none = reduce(lambda a, b: a & b, [F.col(f"bin{i}") == 0 for i in range(len(bins))])
+    full = reduce(lambda a, b: a & b, [F.col(f"bin{i}") == len(x) - 1 for i, x in enumerate(spectra)])
+    return t.where(~none & ~full)

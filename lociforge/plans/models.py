@@ -12,7 +12,8 @@ from lociforge.operators import likelihood as L
 from lociforge.operators import models as M
 from lociforge.operators import quality as Q
 from lociforge.operators import spectrum as S
-from lociforge.plans.genetics import _BEST, _GL, NEUTRAL, _alleles, _gl, _l3, _sites, rounded
+from lociforge.operators.coalescent import decode
+from lociforge.plans.genetics import _BEST, _GL, NEUTRAL, _alleles, _gl, _l3, _saf, _sites, rounded
 from lociforge.plans.pileup import CTE, SAMPLES, pileup
 
 QUERIES, SQL = {}, {}
@@ -56,9 +57,10 @@ def outgroup_counts(spark: SparkSession, d: str) -> DataFrame:
     return M.outgroup_counts(pileup(spark, d)).withColumn("qbin", F.col("qbin").cast("int"))
 
 
-@query()
+@query(CTE + """, s as (select least(posi, isop) as place, posi <= isop as five_prime, is_rev, (qs // 5)::int as qbin, ref, base, count(*) as n from r where anc = ref group by all)
+select place, five_prime, is_rev, qbin, ref, base, round((n + 1) / (sum(n) over (partition by place, five_prime, is_rev, qbin, ref) + 4), 5) as rate from s""")
 def outgroup_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.outgroup_rates(M.outgroup_counts(pileup(spark, d))), "rate")
+    return rounded(M.outgroup_rates(M.outgroup_counts(pileup(spark, d))), "rate").withColumn("qbin", F.col("qbin").cast("int"))
 
 
 @query()
@@ -169,8 +171,6 @@ def contamination_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def branch_statistics(spark: SparkSession, d: str) -> DataFrame:
-    from lociforge.plans.genetics import _saf
-
     groups = [SAMPLES[:3], SAMPLES[3:6], SAMPLES[6:]]
     safs = [_saf(spark, d, g) for g in groups]
     out = []
@@ -179,3 +179,34 @@ def branch_statistics(spark: SparkSession, d: str) -> DataFrame:
         prior = np.ones((n1 + 1) * (n2 + 1))
         out.append(S.fst_summary(S.fst_sites(safs[i], safs[j], prior, n1, n2)).first()["fst_weighted"])
     return spark.createDataFrame([(k, round(float(f), 5), round(float(b), 5)) for k, (f, b) in enumerate(zip(out, S.branch_statistics(*out)))], "pop int, fst double, pbs double")
+
+
+@query()
+def gl_outgroup(spark: SparkSession, d: str) -> DataFrame:
+    r = pileup(spark, d)
+    return _ten(M.gl_outgroup(r, M.outgroup_rates(M.outgroup_counts(r))))
+
+
+@query()
+def allele_set_calls(spark: SparkSession, d: str) -> DataFrame:
+    r = pileup(spark, d)
+    ref = r.groupBy("chr", "pos").agg(F.max("ref").alias("major"))
+    return rounded(M.allele_set_calls(M.collected_gl(L.gl_gatk(r), ref)), "qual", digits=3)
+
+
+@query()
+def coalescence_times(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(decode(psmc_windows(spark, d), 12), "mean_time")
+
+
+@query()
+def block_spectra(spark: SparkSession, d: str) -> DataFrame:
+    b = S.block_spectra(_saf(spark, d, SAMPLES[:5]), 100, 11)
+    return b.select("chr", "block", "n_sites", F.posexplode("sfs").alias("bin", "value")).withColumn("value", F.round("value", 3))
+
+
+@query()
+def variable_sites(spark: SparkSession, d: str) -> DataFrame:
+    groups = [SAMPLES[:4], SAMPLES[4:]]
+    flat = [np.ones(2 * len(g) + 1) for g in groups]
+    return S.variable_sites([_saf(spark, d, g) for g in groups], flat)

@@ -202,3 +202,46 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert sorted(tuple(r) for r in spark.table("w").collect()) == [("1", 0, 1.0, 0.5, 2), ("1", 1, 1.0, 0.5, 2)]
     assert sum(r["n_a"] + r["n_c"] + r["n_g"] + r["n_t"] for r in spark.table("c").collect()) == 5
+
+
+def test_simulated_truth_is_recovered(spark):
+    from lociforge.operators.simulate import simulate_reads
+
+    reads = simulate_reads(spark, 300, 20, depth=8, variable=0.6).cache()
+    again = simulate_reads(spark, 300, 20, depth=8, variable=0.6).repartition(7)
+    assert reads.count() == again.count() == reads.intersectAll(again).count()
+    sites = M.likelihood_sites(L.gl_gatk(reads))
+    f = {r["pos"]: r for r in E.frequencies(sites).collect()}
+    truth = {r["pos"]: r for r in reads.select("pos", "ref", "sample", "geno").distinct().groupBy("pos").agg({"geno": "avg", "ref": "max"}).withColumnRenamed("avg(geno)", "g").withColumnRenamed("max(ref)", "ref").collect()}
+    off = [abs((f[p]["freq"] if f[p]["major"] == t["ref"] else 1 - f[p]["freq"]) - t["g"] / 2) for p, t in truth.items() if p in f]
+    assert np.median(off) < 0.02 and np.mean(off) < 0.05
+    long = M.long_likelihoods(sites)
+    three = L.three(L.gl_gatk(reads), L.best_pair(L.pair_scores(L.gl_gatk(reads))))
+    assert long.count() == three.count() == long.select("chr", "pos", "sample", "major", "minor").intersect(three.select("chr", "pos", "sample", "major", "minor")).count()
+    calls = M.allele_set_calls(M.collected_gl(L.gl_gatk(reads), reads.groupBy("chr", "pos").agg({"ref": "max"}).withColumnRenamed("max(ref)", "major"))).collect()
+    right = [(len(r["alleles"]) > 1 or r["qual"] > 13) == (truth[r["pos"]]["g"] > 0) for r in calls if truth[r["pos"]]["g"] == 0 or truth[r["pos"]]["g"] > 0.1]
+    assert np.mean(right) > 0.9
+    reads.unpersist()
+
+
+def test_hidden_markov_posteriors():
+    from lociforge.operators import coalescent as K
+
+    start, trans, het = K.hidden_markov(4, 0.3, 0.1)
+    assert np.allclose(trans.sum(axis=1), 1) and start.sum() == pytest.approx(1) and (np.diff(het) > 0).all()
+    obs = np.array([0, 1, -1, 1])
+    post, lik = K.forward_backward(obs, start, trans, het)
+    total = np.zeros((4, 4))
+    for s in product(range(4), repeat=4):
+        p = start[s[0]] * np.prod([trans[a, b] for a, b in zip(s, s[1:])]) * np.prod([het[x] if o == 1 else 1 - het[x] if o == 0 else 1 for x, o in zip(s, obs)])
+        for i, x in enumerate(s):
+            total[i, x] += p
+    assert np.allclose(post, total / total[0].sum()) and lik == pytest.approx(math.log(total[0].sum()))
+
+
+def test_blocks_and_checks(spark):
+    df, s = saf_table(spark, np.random.default_rng(9), 25, 2)
+    b = S.block_spectra(df, 10, 5).orderBy("block").collect()
+    assert [r["n_sites"] for r in b] == [10, 10, 5] and sum(b[0]["sfs"]) == pytest.approx(10)
+    assert S.check_positions(df).count() == 0 and S.check_positions(S.concatenated([df, df])).count() == 25
+    assert S.variable_sites([df], [np.ones(5)]).count() == int(((s.argmax(axis=1) > 0) & (s.argmax(axis=1) < 4)).sum())
