@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.session import cut
@@ -205,9 +205,9 @@ def contamination_sites(counts: DataFrame, snps: DataFrame, flank: int = 4) -> D
 
 def contamination_moments(sites: DataFrame) -> DataFrame:
     """Moment estimate with its jackknife error: ``eps, estimate, se, n_sites``; leaving one SNP out is total minus row."""
-    w = Window.partitionBy(F.lit(0))  # one row a SNP of the panel
     x = sites.select((F.col("other") / F.col("depth")).alias("r"), "freq", F.col("flank_depth").alias("fd"), F.col("flank_other").alias("fo"))
-    s = x.withColumns({"n": F.count(F.lit(1)).over(w), "sr": F.sum("r").over(w), "sf": F.sum("freq").over(w), "sd": F.sum("fd").over(w), "so": F.sum("fo").over(w)})
+    total = x.agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sr"), F.sum("freq").alias("sf"), F.sum("fd").alias("sd"), F.sum("fo").alias("so")).first()
+    s = x.withColumns({k: F.lit(v).cast("double") for k, v in total.asDict().items()})  # five numbers cross the driver
 
     def estimate(r: Column, f: Column, n: Column, eps: Column) -> Column:
         return (r / n - eps) / F.nullif(f / n * (1 - 4 * eps / 3), F.lit(0.0))
@@ -215,7 +215,7 @@ def contamination_moments(sites: DataFrame) -> DataFrame:
     eps = F.col("so") / F.nullif(F.col("sd"), F.lit(0))
     left = (F.col("so") - F.col("fo")) / F.nullif(F.col("sd") - F.col("fd"), F.lit(0))
     s = s.withColumns({"eps": eps, "all": estimate(F.col("sr"), F.col("sf"), F.col("n"), eps), "one": estimate(F.col("sr") - F.col("r"), F.col("sf") - F.col("freq"), F.col("n") - 1, left)})
-    return s.agg(F.first("eps").alias("eps"), F.first("all").alias("estimate"), (F.sqrt(F.var_pop("one") * (F.first("n") - 1))).alias("se"), F.first("n").alias("n_sites"))
+    return s.agg(F.first("eps").alias("eps"), F.first("all").alias("estimate"), (F.sqrt(F.var_pop("one") * (F.first("n") - 1))).alias("se"), F.first("n").cast("bigint").alias("n_sites"))
 
 
 def contamination_likelihood(sites: DataFrame) -> float:

@@ -128,13 +128,27 @@ def check_headers(spark: SparkSession, paths: list[str]) -> None:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of sequence with their place: ``chr, start, seq``.  Lines of one file are numbered in order, so files may be split."""
-    t = spark.read.text(path, wholetext=False).withColumn("id", F.monotonically_increasing_id()).where("length(trim(value)) > 0")
-    order = Window.orderBy("id")  # one row a line; headers decide contigs, so the order of lines has to be known
-    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
-    t = t.withColumn("chr", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("value not like '>%'")
-    before = F.sum(F.length(F.trim("value"))).over(Window.partitionBy("chr").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    return t.select("chr", F.coalesce(before, F.lit(0)).cast("bigint").alias("start"), F.trim("value").alias("seq"))
+    """Lines of sequence with their place: ``chr, start, seq``.
+
+    Files are read in splits.  Lines are placed within their split; what the earlier splits of a file carry over (contig, and length since
+    its header) comes from one summary row a split, so no task sees a whole contig.
+    """
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    t = t.withColumn("seq", F.trim("value")).where("length(seq) > 0")
+    head = F.when(F.col("seq").startswith(">"), F.regexp_extract("seq", r"^>(\S*)", 1))
+    t = t.withColumns({"head": head, "len": F.when(head.isNull(), F.length("seq")).otherwise(0)})
+    by = ["file", "split"]
+    inside = Window.partitionBy(*by).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"own": F.last("head", ignorenulls=True).over(inside), "part": F.count("head").over(inside)})
+    t = t.withColumn("before", F.sum("len").over(Window.partitionBy(*by, "part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("len"))
+    ends = t.groupBy(*by).agg(F.max_by("own", "id").alias("last"), F.max_by(F.col("before") + F.col("len"), F.col("id")).alias("tail"))
+    earlier = Window.partitionBy("file").orderBy("split")
+    ends = ends.withColumn("run", F.count("last").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("sum", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.select(*by, F.last("last", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.lag("sum").over(earlier).alias("carry"))
+    t = t.join(ends, by).where("head is null")
+    first = F.col("own").isNull()
+    return t.select(F.when(first, F.col("carried")).otherwise(F.col("own")).alias("chr"), (F.col("before") + F.when(first, F.coalesce("carry", F.lit(0))).otherwise(0)).cast("bigint").alias("start"), "seq")
 
 
 def fasta_bases(lines: DataFrame) -> DataFrame:

@@ -52,6 +52,15 @@ def test_fasta_and_lists(spark, tmp_path):
     p = write(tmp_path / "r.fa", [">1 first", "AAC", "GN", ">2", "T"])
     got = sorted((r["chr"], r["pos"], r["base"]) for r in text.fasta_bases(text.fasta(spark, p)).where("base is not null").collect())
     assert got == [("1", 0, 0), ("1", 1, 0), ("1", 2, 1), ("1", 3, 2), ("2", 0, 3)]
+    long = write(tmp_path / "long.fa", [x for c in "ab" for x in [f">{c}", *["ACGTA" if i % 3 else "CC" for i in range(200)]]])
+    want = {(c, i): x for c in "ab" for i, x in enumerate("".join("ACGTA" if i % 3 else "CC" for i in range(200)))}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        split = text.fasta(spark, long)
+        assert spark.read.text(long).rdd.getNumPartitions() > 1
+        assert {(r["chr"], r["start"] + k): x for r in split.collect() for k, x in enumerate(r["seq"])} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert text.fai(spark, write(tmp_path / "r.fai", ["1\t5\t9\t3\t4"])).first()["length"] == 5
     assert [tuple(r) for r in text.sites(spark, write(tmp_path / "s3", ["1\t3\t4", ""])).collect()] == [("1", 2), ("1", 3)]
     assert [tuple(r) for r in text.sites(spark, write(tmp_path / "s5", ["1\t3\t0\tc"])).collect()] == [("1", 2, 0, 1)]
