@@ -59,7 +59,7 @@ SQL = {
     "p1_found": """
 with r as (select list_id, ref_id, greatest(coalesce(reg_start, 0), 0) as a, least(coalesce(reg_stop, length), length) as b
   from regions join contigs using (ref_id)),
-v as (select * from r where b > a),
+v as (select distinct * from r where b > a),
 m as (select *, max(b) over (partition by list_id, ref_id order by a, b rows between unbounded preceding and 1 preceding) as p from v),
 i as (select *, sum(case when p is null or a > p then 1 else 0 end) over (partition by list_id, ref_id order by a, b rows unbounded preceding) as g from m),
 q as (select list_id, ref_id, min(a) as a, max(b) as b from i group by list_id, ref_id, g),
