@@ -20,6 +20,10 @@ FEATURES, RANK, OVER, REST = 1 << 16, 32, 8, 32
 MIN_RUN, WINDOW = 10, 5
 #: Least cosine of candidates; windows of equal words have cosine 1.
 COSINE = 0.95
+#: A paraphrase holds so much of the item in order, and so much of its RARE rarest words.
+LCS_SHARE, ANSWER_SHARE, RARE = 0.8, 0.6, 5
+#: Pairs of a rare word in a document and an item, counted at a time.
+RARE_PAIRS = 2_000_000
 #: Eval items searched for at once; more items are searched for in blocks of about so many.
 ITEM_BLOCK = 5000
 _OUT = "doc_id bigint, item_id bigint, run_words int, lcs_share double, answer_share double"
@@ -125,6 +129,12 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - bin(v).count("1")
 
 
+def stretch(a: list[str], b: list[str], k: int) -> list[str]:
+    """The stretch of document a from half a length of item b before its k-th half length to 2.5 lengths in all."""
+    half = max(1, len(b) // 2)
+    return a[max(0, (k - 1) * half) : (k + 2) * half + len(b)]
+
+
 class _Items:
     """The query side: items' words, and their windows' latent vectors in an inverted file around a few centres."""
 
@@ -135,7 +145,7 @@ class _Items:
         self.item, self.pos, qs, self.rare = [], [], [], []
         for k, ws in enumerate(self.words):
             ids = np.array(bucket(ws), dtype=np.int64)
-            self.rare.append({ws[i] for i in np.argsort(-latent.idf[ids], kind="stable")[:5]} if len(ids) else set())
+            self.rare.append({ws[i] for i in np.argsort(-latent.idf[ids], kind="stable")[:RARE]} if len(ids) else set())
             if len(ids) >= WINDOW:
                 at = np.arange(len(ids) - WINDOW + 1)
                 qs.append(_windows(ids, at, latent.vectors))
@@ -144,6 +154,12 @@ class _Items:
         self.empty = not qs
         if self.empty:
             return
+        # every rare word's bucket with the items it is rare in: a paraphrase holds at least need of an item's rare words
+        self.need = np.array([next(n for n in range(len(r) + 1) if n >= ANSWER_SHARE * len(r) - 1e-9) for r in self.rare])
+        marks = [(b, k, n) for k, ws in enumerate(self.words) if len(ws) >= WINDOW for n, b in enumerate(bucket(sorted(self.rare[k])))]
+        marks = np.array(sorted(marks), dtype=np.int64).reshape(-1, 3)
+        self.mark_item, self.mark_word = marks[:, 1], marks[:, 2]
+        self.mark_cuts = np.searchsorted(marks[:, 0], np.arange(FEATURES + 1))
         q = np.vstack(qs).astype(np.float32)
         self.item, self.pos = np.array(self.item), np.array(self.pos)
         self.centres = _centres(q, max(1, min(256, len(q) // 16)))
@@ -158,6 +174,36 @@ class _Items:
             m = np.flatnonzero((best == c) | (second == c))
             self.lists.append((m, q[m]))
 
+    def rare_pairs(self, f: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs (document, item) in which so many of the item's rare words occur as a paraphrase needs; f holds the words' buckets,
+        doc their documents, in order."""
+        n = np.diff(self.mark_cuts)[f]
+        f, doc, n = f[n > 0], doc[n > 0], n[n > 0]
+        ends, out, lo = np.cumsum(n), [], 0
+        while lo < len(f):
+            hi = max(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RARE_PAIRS, "right"), lo + 1)
+            hi = np.searchsorted(doc, doc[hi - 1], "right")  # documents stay whole
+            reps = n[lo:hi]
+            mark = np.repeat(self.mark_cuts[f[lo:hi]] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+            key = np.unique((np.repeat(doc[lo:hi], reps) * len(self.words) + self.mark_item[mark]) * RARE + self.mark_word[mark]) // RARE
+            pair, seen = np.unique(key, return_counts=True)
+            d, item = np.divmod(pair, len(self.words))
+            m = seen >= self.need[item]
+            out += zip(d[m].tolist(), item[m].tolist())
+            lo = hi
+        return out
+
+    def places(self, a: list[str], item: int) -> set[int]:
+        """The stretches of a document that hold enough of the item's rare words, and of its words at all, for a paraphrase."""
+        b, rare = self.words[item], self.rare[item]
+        half, at = max(1, len(b) // 2), [i for i, w in enumerate(a) if w in rare]
+        out = set()
+        for k in {k for i in at for k in range(max(0, (i - len(b)) // half - 2), i // half + 2)}:
+            x = set(stretch(a, b, k))
+            if len(rare & x) >= self.need[item] and sum(w in x for w in b) >= LCS_SHARE * len(b) - 1e-9:
+                out.add(k)
+        return out
+
     def candidates(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         near = (x @ self.centres.T).argmax(axis=1)
         order = np.argsort(near, kind="stable")
@@ -181,7 +227,8 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, latent: Lat
     paraphrases it: words of the item in order (longest common subsequence) make up at least 0.8 of it, and at least 0.6 of
     its rarest words, which carry the answer, occur.  Candidates are pairs of windows with a cosine of at least ``cosine`` in the latent space
     of ``fit``.  Windows of equal words have equal vectors, and every run of MIN_RUN words covers a window of the document
-    at the stride used, so the candidate search loses no exact passage.
+    at the stride used, so the candidate search loses no exact passage.  Paraphrases are also looked up by the items' rarest words,
+    enough of which each must hold, so none within a stretch of twice the item's length is lost.
 
     Null and blank texts hold nothing; texts are read whole; repeated documents all count, repeated items once; items shorter than
     WINDOW words cannot be searched for; other columns are ignored.  Items are the query set: blocks of at most about
@@ -233,17 +280,21 @@ def _search(spark: SparkSession, docs: DataFrame, queries: _Items, latent: Laten
                     while i + y < len(a) and j + y < len(b) and a[i + y] == b[j + y]:
                         y += 1
                     state[0] = max(state[0], x + y)
+            for d, item in q.rare_pairs(f, np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])):
+                if places := q.places(texts[d], item):
+                    pairs.setdefault((d, item), [0, set()])[1].update(places)
             out = []
             for (d, item), (longest, places) in pairs.items():
                 b = q.words[item]
-                # the stretches where the item would lie if an alike window is part of it, with half its length to either side
-                half = max(1, len(b) // 2)
-                near = [texts[d][max(0, (k - 1) * half) : (k + 2) * half + len(b)] for k in sorted(places)]
-                share, close = max((lcs(b, x), x) for x in near)
-                share /= len(b)
+                # the stretches where the item would lie if an alike window is part of it, and those with its rare words
                 rare = q.rare[item]
-                answer = len(rare & set(close)) / max(1, len(rare))
-                if longest >= MIN_RUN or (share >= 0.8 and answer >= 0.6):
+                shares = []
+                for k in places:
+                    x = stretch(texts[d], b, k)
+                    share, answer = lcs(b, x) / len(b), len(rare & set(x)) / max(1, len(rare))
+                    shares.append((share >= LCS_SHARE and answer >= ANSWER_SHARE, share, answer))
+                alike, share, answer = max(shares)
+                if longest >= MIN_RUN or alike:
                     out.append((ids[d], q.ids[item], longest, share, answer))
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
