@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm.clusters import cluster_members, describe_clusters
+from lociforge.llm.clusters import cluster_labels, cluster_members, describe_clusters
 from lociforge.llm.leaks import MIN_RUN, leaks
 from lociforge.llm.mixing import mix
 from lociforge.llm.percentiles import percentiles, site_values, skewed_groups
@@ -15,7 +15,7 @@ from lociforge.session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return cluster_members(table(spark, d, "beagle_genos")).select("rec_id", "cluster_id")
+    return cluster_labels(table(spark, d, "beagle_genos"))
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
