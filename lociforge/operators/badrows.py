@@ -6,6 +6,7 @@ import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -17,13 +18,10 @@ POSI, ALLELE, FREQ, STRAND = r"[0-9]+", r"[ACGTacgt]", r"(?:[0-9]+\.?[0-9]*|\.[0
 BLANKS = " \t"
 
 _POSI, _ALLELE, _FREQ, _STRAND = (re.compile(x) for x in (POSI, ALLELE, FREQ, STRAND))
-_READ = pacsv.ReadOptions(column_names=FIELDS, use_threads=False)
 _PARSE = pacsv.ParseOptions(quote_char='"', double_quote=True, newlines_in_values=False, ignore_empty_lines=False)
 _CONVERT = pacsv.ConvertOptions(column_types=dict.fromkeys(FIELDS, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False, check_utf8=False)
-#: Blocks no longer than this are diagnosed record by record instead of being halved again: a call of the reader costs as much.
-LEAF = 32
-#: Largest block; block sizes double after a clean block and are halved after one with failures.
-LARGEST = 8192
+#: Blocks no longer than this are not halved again: a vectorised test of their shape picks the records that the reader can take.
+LEAF = 1024
 
 
 def split_record(line: str) -> list[str] | None:
@@ -83,65 +81,100 @@ def diagnose(line: str | None) -> tuple[str | None, list | None]:
     return None, [int(posi) if len(posi.lstrip("0")) <= 18 else None, a1.upper(), float(freq), strand, a2.upper(), note]
 
 
-def _bulk(lines: pa.Array) -> list[pa.Array] | None:
-    """A block's typed columns, or None unless every record in it is beyond doubt valid."""
-    if lines.null_count or pc.any(pc.match_substring_regex(lines, "[\n\r]")).as_py():
-        return None
-    data = "\n".join(lines.to_pylist()).encode()
+_FIELD = '(?:"(?:[^"]|"")*"|[^",][^",]*|)'
+_SHAPE = f"^(?:{_FIELD},){{{len(FIELDS) - 1}}}{_FIELD}$"
+#: Blanks inside quotes do belong to the data, and columns no longer show which values were quoted.
+_INNER_BLANKS = f'(?:^|,)"[{BLANKS}]|[{BLANKS}]"(?:,|$)'
+_TYPES = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string()]
+
+
+def _read(lines: pa.Array) -> pa.Table | None:
+    """The block's columns as strings, or None if the columnar reader refuses it."""
     try:
-        t = pacsv.read_csv(io.BytesIO(data), _READ, _PARSE, _CONVERT)
+        data = "\n".join(lines.to_pylist()).encode("utf-8", "surrogatepass")
+        t = pacsv.read_csv(io.BytesIO(data), pacsv.ReadOptions(column_names=FIELDS, use_threads=False, block_size=len(data) + 64), _PARSE, _CONVERT)
     except (pa.ArrowInvalid, UnicodeError):
         return None
-    if t.num_rows != len(lines):
-        return None
-    cols = [c.combine_chunks() for c in t.columns]
-    if pc.any(pc.match_substring(lines, '"')).as_py():
-        # the reader is lenient about text after a closing quote and quotes inside a field: such records are for diagnose()
-        shape = f"^(?:{_FIELD},){{{len(FIELDS) - 1}}}{_FIELD}$"
-        if not pc.all(pc.match_substring_regex(lines, shape)).as_py():
-            return None
-        if pc.any(pc.match_substring_regex(lines, f'(?:^|,)"[{BLANKS}]|[{BLANKS}]"(?:,|$)')).as_py():
-            return None  # blanks inside quotes do belong to the data; the columns no longer show which were quoted
-    cols = [pc.utf8_trim(c, BLANKS) for c in cols]
-    posi, a1, freq, strand, a2, note = cols
-    for c, form in ((posi, "[0-9]{1,18}"), (a1, ALLELE), (freq, FREQ), (strand, STRAND), (a2, ALLELE)):
-        if not pc.all(pc.match_substring_regex(c, f"^(?:{form})$")).as_py():
-            return None
+    return t if t.num_rows == len(lines) else None
+
+
+def _bisect(lines: pa.Array, at: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Columns of the records that the reader takes, with their positions: a block that it refuses is halved, one of at most LEAF
+    records is read without those of a broken shape."""
+    if not len(at):
+        return
+    if (t := _read(lines)) is not None:
+        yield t, at
+    elif len(at) > LEAF:
+        half = len(at) // 2
+        yield from _bisect(lines[:half], at[:half])
+        yield from _bisect(lines[half:], at[half:])
+    else:
+        sound = np.asarray(pc.match_substring_regex(lines, _SHAPE))
+        if not sound.all():
+            yield from _bisect(lines.filter(pa.array(sound)), at[sound])
+
+
+def _floats(text: pa.Array) -> pa.Array:
     try:
-        posi, freq = pc.cast(posi, pa.int64()), pc.cast(freq, pa.float64())
-    except pa.ArrowInvalid:
-        return None
-    if pc.min(posi).as_py() < 1 or pc.max(freq).as_py() > 1:
-        return None
-    return [posi, pc.utf8_upper(a1), freq, strand, pc.utf8_upper(a2), note]
-
-
-_FIELD = '(?:"(?:[^"]|"")*"|[^",][^",]*|)'
-_TYPES = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string()]
+        return pc.cast(text, pa.float64())
+    except pa.ArrowInvalid:  # beyond the range of a double
+        return pa.array([None if x is None else float(x) for x in text.to_pylist()], pa.float64())
+
+
+def _typed(t: pa.Table) -> tuple[list[pa.Array], np.ndarray]:
+    """Typed columns of a block, and which of its records are beyond doubt valid."""
+    cols = [pc.utf8_trim(c.combine_chunks(), BLANKS) for c in t.columns]
+    good = None
+    for k, form in enumerate(("[0-9]{1,18}", ALLELE, FREQ, STRAND, ALLELE)):
+        m = pc.match_substring_regex(cols[k], f"^(?:{form})$")
+        good = m if good is None else pc.and_(good, m)
+    posi, a1, freq, strand, a2, note = cols
+    none = pa.scalar(None, pa.string())
+    posi, freq = pc.cast(pc.if_else(good, posi, none), pa.int64()), _floats(pc.if_else(good, freq, none))
+    good = pc.fill_null(pc.and_(good, pc.and_(pc.greater_equal(posi, 1), pc.less_equal(freq, 1.0))), False)
+    return [posi, pc.utf8_upper(a1), freq, strand, pc.utf8_upper(a2), note], np.asarray(good)
 
 
 def parse_block(lines: pa.Array) -> tuple[list[pa.Array], pa.Array]:
-    """Typed columns and reasons (null where valid) of a block: tried in bulk, halved where that fails, single records diagnosed."""
+    """Typed columns and reasons (null where valid) of a block: read in bulk, halved where the reader refuses it; only the records that the
+    columns show to be doubtful are diagnosed one by one."""
     n = len(lines)
-    if n > LEAF:
-        if (cols := _bulk(lines)) is not None:
-            return cols, pa.nulls(n, pa.string())
-        half = n // 2
-        a, b = parse_block(lines[:half]), parse_block(lines[half:])
-        return [pa.concat_arrays(x) for x in zip(a[0], b[0])], pa.concat_arrays([a[1], b[1]])
-    found = [diagnose(x) for x in lines.to_pylist()]
+    plain = pc.replace_substring_regex(lines, "\r$", "")
+    doubt = np.asarray(pc.fill_null(pc.match_substring_regex(plain, "[\n\r]"), True))
+    quoted = np.asarray(pc.fill_null(pc.match_substring(plain, '"'), False)) & ~doubt
+    if quoted.any():
+        # the reader is lenient about text after a closing quote and quotes inside a field
+        q = plain.filter(pa.array(quoted))
+        doubt[np.flatnonzero(quoted)] = ~np.asarray(pc.match_substring_regex(q, _SHAPE)) | np.asarray(pc.match_substring_regex(q, _INNER_BLANKS))
+    parts: list[list[pa.Array]] = []
+    places = []
+    done = np.zeros(n, bool)
+    read = list(_bisect(plain.filter(pa.array(~doubt)), np.flatnonzero(~doubt)))
+    if read:
+        where = np.concatenate([at for _, at in read])
+        cols, good = _typed(pa.concat_tables([t for t, _ in read]))
+        done[where[good]] = True
+        parts.append([c.filter(pa.array(good)) for c in cols])
+        places.append(where[good])
+    rest = np.flatnonzero(~done)
+    found = [diagnose(x) for x in lines.take(pa.array(rest)).to_pylist()]
     rows = [v or [None] * len(FIELDS) for _, v in found]
-    return [pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], pa.array([r for r, _ in found], pa.string())
+    parts.append([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)])
+    places.append(rest)
+    back = pa.array(np.argsort(np.concatenate(places), kind="stable"))
+    reason = pa.concat_arrays([pa.nulls(n - len(rest), pa.string()), pa.array([r for r, _ in found], pa.string())])
+    return [pa.concat_arrays(x).take(back) for x in zip(*parts)], reason.take(back)
 
 
-def parse_records(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] = ("line_id",), block: int = 256) -> DataFrame:
+def parse_records(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] = ("line_id",), block: int = 8192) -> DataFrame:
     """Every input row once: ``keep`` columns, the typed fields, and ``reason`` (null where the record is valid).
 
-    Blocks of records (``block`` at first) go through a columnar CSV reader; a block that isn't valid as a whole is halved until its bad
-    records stand among at most LEAF, which are diagnosed strictly one by one.  Valid rows have typed fields, failing rows nulls and the first
-    reason that holds: quoting, column_count, posi, allele1, freq, strand, allele2.  Null and empty records fail with
-    column_count; repeated records all count; records of any length are read whole; columns not in ``keep`` are ignored.
-    There is no shuffle: each input partition is read once.
+    Blocks of up to ``block`` records go through a columnar CSV reader.  A block that it refuses is halved until the records of a broken shape
+    stand alone; tests over whole columns then tell which values are doubtful, and only such records are diagnosed strictly one by
+    one.  Valid rows have typed fields, failing rows nulls and the first reason that holds: quoting, column_count, posi, allele1,
+    freq, strand, allele2.  Null and empty records fail with column_count; repeated records all count; records of any length
+    are read whole; columns not in ``keep`` are ignored.  There is no shuffle: each input partition is read once.
     """
     kept = df.select(*keep).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["posi bigint, allele1 string, freq double, strand string, allele2 string, note string, reason string"])
@@ -151,14 +184,10 @@ def parse_records(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] =
     n_keep = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = block
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                part = b.slice(at, size)
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
                 cols, reason = parse_block(part.column(n_keep).cast(pa.string()))
-                at += size
-                size = min(2 * size, LARGEST) if reason.null_count == len(reason) else max(size // 2, 2 * LEAF)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keep)), *cols, reason], names)
 
     return df.select(*keep, df[line].alias("__line")).mapInArrow(run, schema)

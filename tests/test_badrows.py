@@ -49,3 +49,19 @@ def test_all_rows_come_out(spark):
     want = sorted((i % 2900, diagnose(x)[0] or "") for i, x in enumerate(lines))
     assert sorted((r["line_id"], r["reason"] or "") for r in got) == want
     assert parse_records(df.limit(0)).count() == 0
+
+
+def test_valid_rows_come_from_columns(monkeypatch):
+    rng = Random(3)
+    good = [x for x, r in CASES.items() if r is None and x.count(" ") < 3]
+    bad = [x for x, r in CASES.items() if r is not None]
+    lines = [rng.choice(bad) if rng.random() < 0.05 else rng.choice([f"{i + 1},a,0.25,-,T,n{i}", rng.choice(good)]) for i in range(9000)]
+    seen = []
+    monkeypatch.setattr(badrows, "diagnose", lambda x: seen.append(x) or diagnose(x))
+    for leaf in (1024, 16):
+        monkeypatch.setattr(badrows, "LEAF", leaf)
+        seen.clear()
+        _, reasons = parse_block(pa.array(lines))
+        valid = reasons.null_count
+        assert valid > 8000 and sum(diagnose(x)[0] is None for x in seen) < 0.1 * valid
+        assert reasons.to_pylist() == [diagnose(x)[0] for x in lines]
