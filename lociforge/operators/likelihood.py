@@ -52,18 +52,26 @@ def effective_size(gl: DataFrame) -> DataFrame:
 
 
 def pair_scores(gl: DataFrame) -> DataFrame:
-    """Log likelihood of each pair of alleles at each position, with Hardy-Weinberg weights 1/4, 1/2, 1/4: columns s01 ... s23."""
+    """For each pair of alleles at each position the log likelihood with Hardy-Weinberg weights 1/4, 1/2, 1/4 (``s01 ... s23``) and the
+    mean expected frequency of the second allele under these weights (``e01 ... e23``)."""
     g = [F.get("gl", F.lit(i)) for i in range(10)]
-    score = {(a, b): F.sum(logsumexp([g[genotype(a, a)], g[genotype(a, b)] + 0.6931471805599453, g[genotype(b, b)]]) - 1.3862943611198906) for a, b in PAIRS}
-    return gl.where(informative()).groupBy(*SITE).agg(*(s.alias(f"s{a}{b}") for (a, b), s in score.items()), F.count(F.lit(1)).alias("keep"))
+    out = []
+    for a, b in PAIRS:
+        logs = [g[genotype(a, a)], g[genotype(a, b)] + 0.6931471805599453, g[genotype(b, b)]]
+        top = F.greatest(*logs)
+        w = [F.exp(x - top) for x in logs]
+        out += [F.sum(logsumexp(logs) - 1.3862943611198906).alias(f"s{a}{b}"), F.avg((w[1] + 2 * w[2]) / (2 * (w[0] + w[1] + w[2]))).alias(f"e{a}{b}")]
+    return gl.where(informative()).groupBy(*SITE).agg(*out, F.count(F.lit(1)).alias("keep"))
 
 
 def best_pair(scores: DataFrame) -> DataFrame:
-    """The likeliest pair of alleles (the first of several), lower base code as ``major``."""
-    top = F.greatest(*(F.struct(F.round(F.col(f"s{a}{b}"), 9).alias("s"), F.lit(-k).alias("k")) for k, (a, b) in enumerate(PAIRS)))
+    """The likeliest pair of alleles (the first of several); ``minor`` is the one whose expected frequency is below one half, the
+    lower base code if both are at one half."""
+    top = F.greatest(*(F.struct(F.round(F.col(f"s{a}{b}"), 9).alias("s"), F.lit(-k).alias("k"), F.round(F.col(f"e{a}{b}"), 9).alias("e")) for k, (a, b) in enumerate(PAIRS)))
     k = -top["k"]
-    first, second = F.array(*(F.lit(a) for a, _ in PAIRS)), F.array(*(F.lit(b) for _, b in PAIRS))
-    return scores.select(*SITE, "keep", F.get(first, k).alias("major"), F.get(second, k).alias("minor"))
+    first, second = F.get(F.array(*(F.lit(a) for a, _ in PAIRS)), k), F.get(F.array(*(F.lit(b) for _, b in PAIRS)), k)
+    swap = top["e"] >= 0.5
+    return scores.select(*SITE, "keep", F.when(swap, second).otherwise(first).alias("major"), F.when(swap, first).otherwise(second).alias("minor"))
 
 
 def best_minor(scores: DataFrame, major: DataFrame) -> DataFrame:

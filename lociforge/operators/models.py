@@ -295,7 +295,8 @@ def heteroplasmy(reads: DataFrame, rounds: int = 100, tol: float = 1e-6) -> Data
 
 
 def likelihood_sites(gl: DataFrame) -> DataFrame:
-    """``chr, pos, keep, major, minor, n, samples, l3``: best pair of alleles and the samples' likelihoods under it, in one pass.
+    """``chr, pos, keep, major, minor, n, samples, l3``: best pair of alleles, oriented by the expected frequency, and the samples'
+    likelihoods under it, in one pass.
 
     The same as ``best_pair(pair_scores(gl))``, ``three`` and ``collected`` in a row, without joining the likelihoods back: one shuffle
     brings a position's samples together, and a kernel does the rest.
@@ -314,9 +315,12 @@ def likelihood_sites(gl: DataFrame) -> DataFrame:
             r = Ragged(np.zeros(3 * len(gls)), sizes)
             score = np.stack([r.sum(np.logaddexp(np.logaddexp(gls[:, lut[a, a]], gls[:, lut[a, c]] + np.log(2)), gls[:, lut[c, c]])) for a, c in pairs], axis=1)
             k = np.round(score - 2 * np.log(2) * sizes[:, None], 9).argmax(axis=1)
-            major, minor = first[k], second[k]
-            at, i, j = np.arange(len(gls)), major[r.site], minor[r.site]
+            at, i, j = np.arange(len(gls)), first[k][r.site], second[k][r.site]
             logs = np.stack([gls[at, lut[i, i]], gls[at, lut[i, j]], gls[at, lut[j, j]]], axis=1)
+            w = np.exp(logs - logs.max(axis=1, keepdims=True)) * [1, 2, 1]
+            swap = np.round(r.sum((w[:, 1] + 2 * w[:, 2]) / (2 * w.sum(axis=1))) / sizes, 9) >= 0.5
+            major, minor = np.where(swap, second[k], first[k]), np.where(swap, first[k], second[k])
+            logs = np.where(swap[r.site, None], logs[:, ::-1], logs)
             tells = logs.max(axis=1) - logs.min(axis=1) > 1e-9
             l3 = np.exp(logs - logs.max(axis=1, keepdims=True))[tells]
             n = r.sum(tells.astype(float)).astype(np.int32)

@@ -54,8 +54,15 @@ def _score(a: int, b: int) -> str:
     return f"sum(greatest({x}, {y}, {z}) + ln(exp({x} - greatest({x}, {y}, {z})) + exp({y} - greatest({x}, {y}, {z})) + exp({z} - greatest({x}, {y}, {z}))) - 1.3862943611198906)"
 
 
-_SCORES = _GL + ", sc as (select chr, pos, count(*) as keep, [" + ", ".join(_score(a, b) for a, b in PAIRS) + "] as s from g where list_max(g) - list_min(g) > 1e-9 group by all)"
-_BEST = _SCORES + f""", mm as (select chr, pos, keep, {[a for a, _ in PAIRS]}[k] as major, {[b for _, b in PAIRS]}[k] as minor
+def _expected(a: int, b: int) -> str:
+    x, y, z = f"g[{genotype(a, a) + 1}]", f"(g[{genotype(a, b) + 1}] + 0.6931471805599453)", f"g[{genotype(b, b) + 1}]"
+    top = f"greatest({x}, {y}, {z})"
+    return f"avg((exp({y} - {top}) + 2 * exp({z} - {top})) / (2 * (exp({x} - {top}) + exp({y} - {top}) + exp({z} - {top}))))"
+
+
+_SCORES = _GL + ", sc as (select chr, pos, count(*) as keep, [" + ", ".join(_score(a, b) for a, b in PAIRS) + "] as s, [" + ", ".join(_expected(a, b) for a, b in PAIRS) + "] as e from g where list_max(g) - list_min(g) > 1e-9 group by all)"
+_FIRST, _SECOND = [a for a, _ in PAIRS], [b for _, b in PAIRS]
+_BEST = _SCORES + f""", mm as (select chr, pos, keep, case when round(e[k], 9) < 0.5 then {_FIRST}[k] else {_SECOND}[k] end as major, case when round(e[k], 9) < 0.5 then {_SECOND}[k] else {_FIRST}[k] end as minor
   from (select *, list_position(list_transform(s, lambda x: round(x, 9)), round(list_max(s), 9)) as k from sc))"""
 _LUT = [[genotype(a, b) + 1 for b in range(4)] for a in range(4)]
 _THREE = _BEST + f""", t0 as (select g.chr, g.pos, sample, major, minor, g[{_LUT}[major + 1][major + 1]] as a, g[{_LUT}[major + 1][minor + 1]] as b, g[{_LUT}[minor + 1][minor + 1]] as c from g join mm using (chr, pos)),

@@ -245,3 +245,27 @@ def test_blocks_and_checks(spark):
     assert [r["n_sites"] for r in b] == [10, 10, 5] and sum(b[0]["sfs"]) == pytest.approx(10)
     assert S.check_positions(df).count() == 0 and S.check_positions(S.concatenated([df, df])).count() == 25
     assert S.variable_sites([df], [np.ones(5)]).count() == int(((s.argmax(axis=1) > 0) & (s.argmax(axis=1) < 4)).sum())
+
+
+def test_alleles_are_oriented_by_expected_frequency(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for pos in range(40):
+        a, b = rng.choice(4, 2, replace=False)
+        share = rng.choice([0.0, 0.1, 0.3, 1.0])
+        for s in range(8):
+            rows += [(1, pos, s, int(b if rng.random() < share else a), 30) for _ in range(4)]
+    gl = L.gl_gatk(spark.createDataFrame(rows, "chr int, pos int, sample int, base int, qs int"))
+    sites = M.likelihood_sites(gl)
+    f = E.frequencies(sites).collect()
+    assert all(r["freq"] < 0.5 + 1e-6 for r in f)
+    by = {}
+    for _, pos, _, base, _ in rows:
+        by.setdefault(pos, []).append(base)
+    for r in f:
+        seen = by[r["pos"]]
+        assert seen.count(r["major"]) >= seen.count(r["minor"])
+        if len(set(seen)) == 1:
+            assert r["lrt"] < 1e-6 and r["major"] == seen[0]
+    pairs = {(r["pos"], r["major"], r["minor"]) for r in L.best_pair(L.pair_scores(gl)).collect()}
+    assert pairs == {(r["pos"], r["major"], r["minor"]) for r in f}
