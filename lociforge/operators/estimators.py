@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,40 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 START, ROUNDS, TOLERANCE = 0.001, 100, 1e-5
-_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
 def chi2_tail(x: np.ndarray) -> np.ndarray:
-    """Upper tail of the chi-square distribution with one degree of freedom; 1 for negative values."""
-    return np.where(x < 0, 1.0, _erfc(np.sqrt(np.maximum(x, 0) / 2)))
+    """Upper tail of the chi-square distribution with one degree of freedom; 1 for negative values.
+
+    The complementary error function comes from its Taylor series below 2.5 and from its continued fraction above.
+    """
+    z = np.sqrt(np.maximum(np.asarray(x, float), 0) / 2)
+    near, far = np.minimum(z, 2.5), np.maximum(z, 2.5)
+    term = total = near.copy()
+    for k in range(1, 60):
+        term = -term * near * near / k
+        total = total + term / (2 * k + 1)
+    fraction = far.copy()
+    for k in range(60, 0, -1):
+        fraction = far + k / 2 / fraction
+    tail = np.where(z < 2.5, 1 - 2 / math.sqrt(math.pi) * total, np.exp(-far * far) / (fraction * math.sqrt(math.pi)))
+    return np.where(np.isnan(x), np.nan, np.where(x < 0, 1.0, tail))
+
+
+@lru_cache(maxsize=64)
+def _factorials(n: int) -> np.ndarray:
+    return np.r_[0.0, np.cumsum(np.log(np.arange(1, n + 1)))]
+
+
+def log_factorials(n: int) -> np.ndarray:
+    """Logs of 0! ... n! (at least)."""
+    return _factorials(1 << max(int(n) + 1, 16).bit_length())
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """A two-dimensional array as a column of lists."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x, dtype=np.float64).ravel()))
 
 
 def chi2_threshold(p: float) -> float:
@@ -34,11 +63,11 @@ def chi2_threshold(p: float) -> float:
     return lo
 
 
-class Ragged:
-    """Rows of three likelihoods with the position each belongs to."""
+class Rows:
+    """Rows of likelihoods with the group (position, or pile of bases) each belongs to."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.l = flat.reshape(-1, 3)
+    def __init__(self, l: np.ndarray, sizes: np.ndarray) -> None:
+        self.l = l
         self.sizes = sizes
         self.site = np.repeat(np.arange(len(sizes)), sizes)
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
@@ -51,8 +80,15 @@ class Ragged:
             out[some] = np.add.reduceat(x, self.starts[some], axis=0)
         return out
 
-    def part(self, keep: np.ndarray) -> Ragged:
-        return Ragged(self.l[keep[self.site]].ravel(), self.sizes[keep])
+    def part(self, keep: np.ndarray) -> Rows:
+        return type(self)(self.l[keep[self.site]], self.sizes[keep])
+
+
+class Ragged(Rows):
+    """Rows of three likelihoods, from a flat array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        super().__init__(flat.reshape(-1, 3), sizes)
 
 
 def _iterate(r: Ragged, x: np.ndarray, step: Callable[[Ragged, np.ndarray], np.ndarray], rounds: int, tol: float) -> np.ndarray:
@@ -87,20 +123,20 @@ def em_frequency(r: Ragged, start: float = START, rounds: int = ROUNDS, tol: flo
         return s.sum((w[:, 1] + 2 * w[:, 2]) / np.maximum(2 * w.sum(axis=1), 1e-300)) / s.sizes
 
     if inbreeding is not None:
-        r = _Rows(r.l.ravel(), r.sizes)
+        r = _Numbered(r.l, r.sizes)
     return _iterate(r, np.where(r.sizes > 0, start, 0.0), step, rounds, tol)
 
 
-class _Rows(Ragged):
-    """Ragged rows that remember their place in the original."""
+class _Numbered(Rows):
+    """Rows that remember their place in the original."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray, row: np.ndarray | None = None) -> None:
-        super().__init__(flat, sizes)
+    def __init__(self, l: np.ndarray, sizes: np.ndarray, row: np.ndarray | None = None) -> None:
+        super().__init__(l, sizes)
         self.row = np.arange(len(self.l)) if row is None else row
 
-    def part(self, keep: np.ndarray) -> _Rows:
+    def part(self, keep: np.ndarray) -> _Numbered:
         rows = keep[self.site]
-        return _Rows(self.l[rows].ravel(), self.sizes[keep], self.row[rows])
+        return _Numbered(self.l[rows], self.sizes[keep], self.row[rows])
 
 
 def log_likelihood(r: Ragged, prior: np.ndarray) -> np.ndarray:
@@ -170,11 +206,11 @@ def hardy_weinberg(sites: DataFrame, rounds: int = 50, tol: float = 1e-5) -> Dat
     return sites.mapInArrow(run, schema + ", hwe_freq double, freq double, f double, lrt double, p_value double, het_freq double")
 
 
-def saf_matrix(l: np.ndarray) -> np.ndarray:
-    """Log sample-allele-frequency likelihoods (sites x 2n+1, largest 0) of likelihoods (sites x n x 3).
+def log_saf(l: np.ndarray) -> np.ndarray:
+    """Log sample-allele-frequency likelihoods (sites x 2n+1) of likelihoods (sites x n x 3).
 
     The likelihood of j derived alleles is the sum over all genotype combinations that hold j, each weighted by its number of
-    orderings, divided by the number of ways to choose j of 2n chromosomes.
+    orderings, divided by the number of ways to choose j of 2n chromosomes.  Rows in which a bin underflows are added up in logs.
     """
     m, n, _ = l.shape
     h = np.zeros((m, 2 * n + 1))
@@ -188,10 +224,29 @@ def saf_matrix(l: np.ndarray) -> np.ndarray:
         top = np.maximum(new.max(axis=1, keepdims=True), 1e-300)
         h = new / top
         scale += np.log(top[:, 0])
-    ways = np.array([math.lgamma(2 * n + 1) - math.lgamma(j + 1) - math.lgamma(2 * n - j + 1) for j in range(2 * n + 1)])
+    f = log_factorials(2 * n)
+    ways = f[2 * n] - f[: 2 * n + 1] - f[2 * n :: -1][: 2 * n + 1]
     with np.errstate(divide="ignore"):
-        s = np.log(h) - ways
-    return s - s.max(axis=1, keepdims=True)
+        s = np.log(h) + scale[:, None]
+        low = np.flatnonzero((h < 1e-290).any(axis=1))
+        if len(low):
+            logs = np.log(l[low]) + [0, math.log(2), 0]
+            g = np.full((len(low), 2 * n + 1), -np.inf)
+            g[:, 0] = 0
+            for i in range(n):
+                new = g + logs[:, i, 0, None]
+                new[:, 1:] = np.logaddexp(new[:, 1:], g[:, :-1] + logs[:, i, 1, None])
+                new[:, 2:] = np.logaddexp(new[:, 2:], g[:, :-2] + logs[:, i, 2, None])
+                g = new
+            s[low] = g
+    return s - ways
+
+
+def saf_matrix(l: np.ndarray) -> np.ndarray:
+    """``log_saf`` relative to each row's largest value."""
+    s = log_saf(l)
+    with np.errstate(invalid="ignore"):
+        return s - s.max(axis=1, keepdims=True)
 
 
 def saf_matrix_haploid(l: np.ndarray) -> np.ndarray:
@@ -225,7 +280,7 @@ def allele_frequency_likelihoods(sites: DataFrame, n: int, haploid: bool = False
                 continue
             s = saf_matrix_haploid(full[some][:, :, [0, 2]]) if haploid else saf_matrix(full[some])
             keep = pa.array(some)
-            yield pa.RecordBatch.from_arrays([b["chr"].filter(keep), b["pos"].filter(keep), pa.array(list(s), pa.list_(pa.float64()))], ["chr", "pos", "saf"])
+            yield pa.RecordBatch.from_arrays([b["chr"].filter(keep), b["pos"].filter(keep), _lists(s)], ["chr", "pos", "saf"])
 
     types = dict(sites.dtypes)
     return sites.select("chr", "pos", "l3").mapInArrow(run, f"chr {types['chr']}, pos {types['pos']}, saf array<double>")

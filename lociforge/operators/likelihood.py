@@ -102,7 +102,8 @@ def collected(l3: DataFrame) -> DataFrame:
 
 
 def posterior(l3: DataFrame, freq: DataFrame | None = None) -> DataFrame:
-    """Genotype posteriors ``p0, p1, p2``: with a table chr, pos, freq, or a column ``freq``, under Hardy-Weinberg, otherwise under a uniform prior."""
+    """Genotype posteriors ``p0, p1, p2``: with a table chr, pos, freq, or a column ``freq``, under Hardy-Weinberg, otherwise
+    under a uniform prior; the frequency stays as a column."""
     if freq is None and "freq" not in l3.columns:
         w = [F.col("l0"), F.col("l1"), F.col("l2")]
         rows = l3
@@ -111,7 +112,7 @@ def posterior(l3: DataFrame, freq: DataFrame | None = None) -> DataFrame:
         p = F.col("freq")
         w = [F.col("l0") * (1 - p) * (1 - p), F.col("l1") * 2 * p * (1 - p), F.col("l2") * p * p]
     total = w[0] + w[1] + w[2]
-    return rows.select(*SITE, "major", "minor", "sample", *(F.when(total > 0, x / total).otherwise(1 / 3).alias(f"p{i}") for i, x in enumerate(w)))
+    return rows.select(*SITE, "major", "minor", "sample", *(["freq"] if "freq" in rows.columns else []), *(F.when(total > 0, x / total).otherwise(1 / 3).alias(f"p{i}") for i, x in enumerate(w)))
 
 
 def panel_posterior(l3: DataFrame, panel: DataFrame, freq: DataFrame) -> DataFrame:

@@ -10,69 +10,89 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import GENOTYPES, genotype
-from lociforge.operators.estimators import Ragged, _flat, chi2_tail, em_frequency, hwe_prior, log_likelihood, saf_matrix
+from lociforge.operators.estimators import Ragged, Rows, _flat, _lists, chi2_tail, em_frequency, hwe_prior, log_factorials, log_likelihood, log_saf, saf_matrix
 
 SITE = ["chr", "pos"]
-#: Fixed values of the published dependent-error model: dependency of errors, floor of their independence, most bases used.
-DEPENDENCY, FLOOR, MOST = 0.17, 0.03, 255
+#: Fixed values of the published dependent-error model: dependency of errors and floor of their independence.
+DEPENDENCY, FLOOR = 0.17, 0.03
 
 
 @lru_cache(maxsize=4096)
 def _tail_ratio(q: int, n: int) -> np.ndarray:
     """For k = 0 ... n the log10 odds (x -10) of more than k errors against at least k among n bases of quality q."""
     e = 10 ** (-q / 10)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(e) + (n - k) * math.log1p(-e) for k in range(n + 1)])
-    top = logs.max()
-    tail = np.cumsum(np.exp(logs[::-1] - top))[::-1]
-    more = np.r_[tail[1:], 0]
-    with np.errstate(divide="ignore"):
-        return -10 * (np.log10(np.maximum(more, 1e-300)) - np.log10(np.maximum(tail, 1e-300)))
-
-
-def dependent_errors(base: np.ndarray, q: np.ndarray, rev: np.ndarray) -> np.ndarray:
-    """Log likelihoods of the ten genotypes of one sample: errors of one base on one strand lose weight as they repeat."""
-    order = np.lexsort((base, rev, q))[::-1][:MOST]
-    weight = (1 - DEPENDENCY) ** np.arange(MOST + 1) * (1 - FLOOR) + FLOOR
-    n = len(order)
-    seen: dict[tuple[int, bool], int] = {}
-    count, bsum = np.zeros(4, int), np.zeros(4)
-    for i in order:
-        b, key = int(base[i]), (int(base[i]), bool(rev[i]))
-        f = weight[seen.get(key, 0)]
-        bsum[b] += f * _tail_ratio(int(q[i]), n)[count[b]]
-        count[b] += 1
-        seen[key] = seen.get(key, 0) + 1
-    out = np.zeros(10)
+    k = np.arange(n + 1)
+    lg = log_factorials(n)
+    logs = lg[n] - lg[k] - lg[n - k] + k * math.log(e) + (n - k) * math.log1p(-e)
+    tail = np.logaddexp.accumulate(logs[::-1])[::-1]
+    return np.r_[-10 / math.log(10) * np.diff(tail), np.inf]
+
+
+def _running(*keys: np.ndarray) -> np.ndarray:
+    """How many earlier rows have the same keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    at = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def dependent_errors(base: np.ndarray, q: np.ndarray, rev: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log likelihoods (piles x 10) of piles laid end to end: errors of one base on one strand lose weight as they repeat, the best
+    bases first."""
+    pile = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((-base, ~rev.astype(bool), -q, pile))
+    pile, base, q, rev = pile[order], base[order], q[order], rev[order].astype(bool)
+    weight = (1 - DEPENDENCY) ** _running(pile, base, rev) * (1 - FLOOR) + FLOOR
+    seen = _running(pile, base)
+    n = sizes[pile]
+    cost = np.zeros(len(base))
+    key = q.astype(np.int64) * (int(sizes.max(initial=0)) + 1) + n
+    by = np.argsort(key, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(key[by])) + 1) if len(by) else ():
+        cost[part] = _tail_ratio(int(q[part[0]]), int(n[part[0]]))[seen[part]]
+    cell = pile * 4 + base
+    count = np.bincount(cell, minlength=4 * len(sizes)).reshape(-1, 4)
+    total = np.bincount(cell, weight * cost, minlength=4 * len(sizes)).reshape(-1, 4)
+    lg = log_factorials(int(sizes.max(initial=0)))
+    out = np.empty((len(sizes), 10))
     for g, (a, c) in enumerate(GENOTYPES):
-        other = [k for k in range(4) if k not in (a, c) and count[k]]
-        # the same odds for bases that neither allele explains, at the mean dependency-corrected quality
-        cost = sum(bsum[k] for k in other)
+        # the same odds for bases that neither allele explains, at their dependency-corrected quality
+        x = total.sum(axis=1) - total[:, a] - (total[:, c] if a != c else 0)
         if a != c:
-            m = int(count[a] + count[c])
-            lg = math.lgamma(m + 1) - math.lgamma(count[a] + 1) - math.lgamma(count[c] + 1) - m * math.log(2)
-            cost += -10 * lg / math.log(10)
-        out[g] = -max(cost, 0) * math.log(10) / 10
-    return out - out.max()
+            m = count[:, a] + count[:, c]
+            x = x - 10 / math.log(10) * (lg[m] - lg[count[:, a]] - lg[count[:, c]] - m * math.log(2))
+        out[:, g] = -np.maximum(x, 0) * math.log(10) / 10
+    return out - out.max(axis=1, keepdims=True)
 
 
-def gl_dependent(reads: DataFrame, min_q: int = 13, trim: int = 0) -> DataFrame:
+def gl_dependent(reads: DataFrame, min_q: int = 13, trim: int = 0, most: int | None = None, seed: int = 1) -> DataFrame:
     """``chr, pos, sample, gl`` of the dependent-error model; qualities are capped by mapping quality and kept within 4 to 63.
 
-    One row of arrays for each sample and position goes through Python; the order of equal bases doesn't matter.
+    All bases of a pile count.  ``most`` takes a random subset (by a hash of position, sample, read order and seed) of so many bases of a
+    larger pile instead, as tools with a fixed buffer do; the order of equal bases doesn't matter.
     """
     r = reads.where((F.col("qs") >= min_q) & (F.col("posi") >= trim) & (F.col("isop") >= trim) & F.col("base").between(0, 3))
     q = F.greatest(F.lit(4), F.least(F.lit(63), F.col("qs"), F.col("mapq")))
-    g = r.groupBy(*SITE, "sample").agg(F.sort_array(F.collect_list(F.struct(q.alias("q"), F.col("is_rev").alias("rev"), F.col("base").alias("base"))), asc=False).alias("r"))
+    cell = F.struct(q.cast("int").alias("q"), F.col("is_rev").alias("rev"), F.col("base").cast("int").alias("base"))
+    if most is not None:
+        draw = F.xxhash64(*SITE, "sample", "ord", F.lit(seed))
+        r = r.withColumn("__k", F.row_number().over(Window.partitionBy(*SITE, "sample").orderBy(draw, "ord"))).where(F.col("__k") <= most)
+    g = r.groupBy(*SITE, "sample").agg(F.collect_list(cell).alias("r"))
     g = g.select(*SITE, "sample", F.col("r.base").alias("base"), F.col("r.q").alias("q"), F.col("r.rev").alias("rev"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gl = [dependent_errors(np.array(x), np.array(y), np.array(z)) for x, y, z in zip(b["base"].to_pylist(), b["q"].to_pylist(), b["rev"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], b["sample"], pa.array(gl, pa.list_(pa.float64()))], [*SITE, "sample", "gl"])
+            gl = dependent_errors(*(np.asarray(b[c].flatten()) for c in ("base", "q")), np.asarray(b["rev"].flatten().cast(pa.int8())), np.asarray(pc.list_value_length(b["base"])))
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], b["sample"], _lists(gl)], [*SITE, "sample", "gl"])
 
     t = dict(g.dtypes)
     return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, sample {t['sample']}, gl array<double>")
@@ -212,16 +232,12 @@ def saf_any_minor(gl: DataFrame, major: DataFrame, n: int) -> DataFrame:
             total = None
             for k in range(3):
                 minor = np.array([[x for x in range(4) if x != m][k] for m in range(4)])[major]
-                l3 = np.exp(np.stack([full[at, :, lut[major, major]], full[at, :, lut[major, minor]], full[at, :, lut[minor, minor]]], axis=2))
-                top = np.maximum(l3.max(axis=2, keepdims=True), 1e-300)
-                base = np.log(top[:, :, 0]).sum(axis=1)
-                # saf_matrix rescales; the term that doesn't depend on the minor (no copies) brings the three back to one scale
-                s = saf_matrix(l3 / top)
-                anchor = np.log(np.maximum((l3 / top)[:, :, 0], 1e-300)).sum(axis=1)
-                s = s + (anchor - s[:, 0] + base)[:, None]
+                logs = np.stack([full[at, :, lut[major, major]], full[at, :, lut[major, minor]], full[at, :, lut[minor, minor]]], axis=2)
+                top = logs.max(axis=2, keepdims=True)
+                s = log_saf(np.exp(logs - top)) + top[:, :, 0].sum(axis=1)[:, None]  # on one scale for all three minors
                 total = s if total is None else np.logaddexp(total, s)
             total -= total.max(axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], pa.array(list(total), pa.list_(pa.float64()))], [*SITE, "saf"])
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], _lists(total)], [*SITE, "saf"])
 
     t = dict(sites.dtypes)
     return sites.where("major between 0 and 3").mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, saf array<double>")
@@ -264,31 +280,34 @@ def heteroplasmy(reads: DataFrame, rounds: int = 100, tol: float = 1e-6) -> Data
 
     The update keeps the old frequencies as one pseudo-read, as in the established tool.
     """
-    g = reads.where("base between 0 and 3").groupBy(*SITE, "sample").agg(F.sort_array(F.collect_list(F.struct("base", "qs"))).alias("r"))
+    g = reads.where("base between 0 and 3").groupBy(*SITE, "sample").agg(F.collect_list(F.struct("base", "qs")).alias("r"))
     g = g.select(*SITE, "sample", F.col("r.base").alias("base"), F.col("r.qs").alias("qs"))
     names = [*SITE, "sample", "depth", "f0", "f1", "f2", "f3", "lrt"]
 
-    def one(base: np.ndarray, qs: np.ndarray) -> tuple:
-        e = 10 ** (-qs / 10)
-        lik = np.repeat((e / 3)[:, None], 4, axis=1)
-        lik[np.arange(len(base)), base] = 1 - e
-        x, last = np.full(4, 0.25), -np.inf
-        for _ in range(rounds):
-            w = lik * x
-            x = x + (w / w.sum(axis=1, keepdims=True)).sum(axis=0)
-            x /= x.sum()
-            now = float(np.log((lik * x).sum(axis=1)).sum())
-            if abs(now - last) < tol:
-                break
-            last = now
-        alone = float(np.log(np.maximum(lik, 1e-300)).sum(axis=0).max())
-        return len(base), *map(float, x), max(2 * (now - alone), 0.0)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [one(np.array(x), np.array(q, dtype=float)) for x, q in zip(b["base"].to_pylist(), b["qs"].to_pylist())]
-            cols = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], b["sample"], pa.array(cols[0], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[1:])], names)
+            base, qs = np.asarray(b["base"].flatten()), np.asarray(b["qs"].flatten(), dtype=float)
+            sizes = np.asarray(pc.list_value_length(b["base"]))
+            e = 10 ** (-qs / 10)
+            lik = np.repeat((e / 3)[:, None], 4, axis=1)
+            lik[np.arange(len(base)), base] = 1 - e
+            r = Rows(lik, sizes)
+            x = np.full((len(sizes), 4), 0.25)
+            now = np.full(len(sizes), -np.inf)
+            going, sub = np.arange(len(sizes)), r
+            for _ in range(rounds):
+                if not len(going):
+                    break
+                w = sub.l * x[going][sub.site]
+                y = x[going] + sub.sum(w / w.sum(axis=1, keepdims=True))
+                y /= y.sum(axis=1, keepdims=True)
+                lk = sub.sum(np.log((sub.l * y[sub.site]).sum(axis=1)))
+                more = np.abs(lk - now[going]) >= tol
+                x[going], now[going] = y, lk
+                going, sub = going[more], sub.part(more)
+            alone = r.sum(np.log(np.maximum(lik, 1e-300))).max(axis=1, initial=-np.inf)
+            out = [pa.array(np.ascontiguousarray(c)) for c in (*x.T, np.maximum(2 * (now - alone), 0.0))]
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], b["sample"], pa.array(sizes.astype(np.int32)), *out], names)
 
     t = dict(g.dtypes)
     return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, sample {t['sample']}, depth int, f0 double, f1 double, f2 double, f3 double, lrt double")

@@ -82,19 +82,27 @@ def sampled_covariance(bases: DataFrame, alleles: DataFrame, n: int, min_freq: f
     return g.select("i", "j", (F.col("s") / F.nullif(F.col("n_sites"), F.lit(0))).alias("cov"), "n_sites")
 
 
-def posterior_covariance(post: DataFrame, n: int, min_freq: float = 0.2) -> DataFrame:
-    """``i, j, cov, n_sites`` of expected genotypes from posteriors p0, p1, p2 in long form, standardised by 2 f (1 - f)."""
-    rows = F.map_from_entries(F.collect_list(F.struct(F.col("sample").cast("int"), (F.col("p1") + 2 * F.col("p2")).alias("e"))))
-    sites = post.groupBy(*SITE).agg(rows.alias("m"), (F.avg(F.col("p1") + 2 * F.col("p2")) / 2).alias("f")).where(F.col("f").between(min_freq, 1 - min_freq))
-    sites = sites.select("f", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at(F.col("m"), i)).alias("e"))
+def posterior_covariance(post: DataFrame, n: int, min_freq: float = 0.2, min_post: float = 0.95, min_called: int = 5) -> DataFrame:
+    """``i, j, cov, n_sites`` of expected genotypes from posteriors p0, p1, p2 in long form with the site's ``freq``.
+
+    Expected genotypes are centred on their mean over all n samples (one without information counts with its prior, 2 freq) and divided by
+    sqrt(freq (1 - freq)).  A sample counts where its likeliest genotype has a posterior of at least ``min_post``; positions need
+    ``min_called`` such samples and a frequency between min_freq and 1 - min_freq.
+    """
+    e = F.col("p1") + 2 * F.col("p2")
+    sure = F.greatest("p0", "p1", "p2") >= min_post
+    rows = F.map_from_entries(F.collect_list(F.when(sure, F.struct(F.col("sample").cast("int"), e.alias("e")))))
+    mean = (F.sum(e) + (n - F.count(F.lit(1))) * 2 * F.first("freq")) / n
+    sites = post.where(F.col("freq").between(min_freq, 1 - min_freq)).groupBy(*SITE).agg(rows.alias("m"), F.first("freq").alias("f"), mean.alias("a")).where(F.size("m") >= min_called)
+    sites = sites.select("f", "a", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at(F.col("m"), i)).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cov, cnt = np.zeros((n, n)), np.zeros((n, n))
         for batch in batches:
-            col, f = batch["e"], np.asarray(batch["f"])
+            col, f, a = batch["e"], np.asarray(batch["f"]), np.asarray(batch["a"])
             e = np.asarray(col.flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(col), -1)
             has = ~np.isnan(e)
-            g = np.where(has, e - 2 * f[:, None], 0.0) / np.sqrt(2 * f * (1 - f))[:, None]
+            g = np.where(has, e - a[:, None], 0.0) / np.sqrt(f * (1 - f))[:, None]
             cov += g.T @ g
             cnt += has.T.astype(float) @ has
         i, j = np.triu_indices(n)

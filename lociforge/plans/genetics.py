@@ -150,7 +150,7 @@ def _post(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_POST + "select chr, pos, sample, major, minor, round(p0, 4) + 0 as p0, round(p1, 4) + 0 as p1, round(p2, 4) + 0 as p2 from post")
 def posterior_hwe(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_post(spark, d), "p0", "p1", "p2", digits=4)
+    return rounded(_post(spark, d).drop("freq"), "p0", "p1", "p2", digits=4)
 
 
 @query(_THREE + "select chr, pos, sample, major, minor, round(l0 / (l0 + l1 + l2), 5) as p0, round(l1 / (l0 + l1 + l2), 5) as p1, round(l2 / (l0 + l1 + l2), 5) as p2 from l")
@@ -202,13 +202,13 @@ def saf_likelihoods(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sfs_em(spark: SparkSession, d: str) -> DataFrame:
-    sfs = S.estimate_spectrum([_saf(spark, d, SAMPLES)], (21,), rounds=30)
+    sfs = S.estimate_spectrum([_saf(spark, d, SAMPLES)], (21,))
     return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(sfs)], "bin int, value double")
 
 
 @query()
 def sfs_em_two_populations(spark: SparkSession, d: str) -> DataFrame:
-    sfs = S.estimate_spectrum([_saf(spark, d, SAMPLES[:4]), _saf(spark, d, SAMPLES[4:])], (9, 13), rounds=10)
+    sfs = S.estimate_spectrum([_saf(spark, d, SAMPLES[:4]), _saf(spark, d, SAMPLES[4:])], (9, 13))
     return spark.createDataFrame([(*c, round(float(x), 4)) for c, x in zip(S.spectrum_bins((9, 13)), sfs)], "c1 int, c2 int, value double")
 
 
@@ -221,7 +221,7 @@ def saf_thetas(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fst_two_populations(spark: SparkSession, d: str) -> DataFrame:
     one, two = _saf(spark, d, SAMPLES[:4]), _saf(spark, d, SAMPLES[4:])
-    sfs = S.estimate_spectrum([one, two], (9, 13), rounds=5)
+    sfs = S.estimate_spectrum([one, two], (9, 13))
     return rounded(S.fst_windows(S.fst_sites(one, two, sfs, 8, 12), 500, 100), "fst_unweighted", "fst_weighted")
 
 
@@ -281,7 +281,9 @@ def covariance_sampled(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.sampled_covariance(C.sampled_base(r), alleles, 10), "cov")
 
 
-@query(_POST + """, e as (select chr, pos, sample, p1 + 2 * p2 as e, avg(p1 + 2 * p2) over (partition by chr, pos) / 2 as f from post), k as (select *, (e - 2 * f) / sqrt(2 * f * (1 - f)) as z from e where f between 0.2 and 0.8)
+@query(_POST + """, e as (select post.chr, post.pos, sample, p1 + 2 * p2 as e, freq, greatest(p0, p1, p2) >= 0.95 as sure from post join f on f.chr = post.chr and f.pos = post.pos where freq between 0.2 and 0.8),
+a as (select chr, pos, (sum(e) + (10 - count(*)) * 2 * any_value(freq)) / 10 as a, count(*) filter (sure) as k from e group by all),
+k as (select e.chr, e.pos, sample, (e - a) / sqrt(freq * (1 - freq)) as z from e join a on a.chr = e.chr and a.pos = e.pos where sure and k >= 5)
 select a.sample::int as i, b.sample::int as j, round(sum(a.z * b.z) / count(*), 4) + 0 as cov, count(*) as n_sites from k a join k b on a.chr = b.chr and a.pos = b.pos and a.sample <= b.sample group by a.sample, b.sample""")
 def covariance_posterior(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.posterior_covariance(_post(spark, d), 10), "cov", digits=4)

@@ -121,8 +121,8 @@ def psmc_likelihoods(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def psmc_windows(spark: SparkSession, d: str) -> DataFrame:
-    p = L.psmc_likelihoods(_gl(spark, d).where("sample = 0"))
-    return I.heterozygous_windows(p, I.heterozygosity(p, 30))
+    p = L.psmc_likelihoods(_gl(spark, d))
+    return I.heterozygous_windows(p, I.heterozygosity(p))
 
 
 @query()
@@ -132,19 +132,14 @@ def error_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def genotype_spectrum_pair(spark: SparkSession, d: str) -> DataFrame:
-    gl = _gl(spark, d)
-    f = I.genotype_spectrum_pair(gl.where("sample = 0"), gl.where("sample = 1"), 10)
-    return spark.createDataFrame([(i, j, round(float(f[i, j]), 5)) for i in range(10) for j in range(10)], "g1 int, g2 int, freq double")
+def genotype_spectrum_pairs(spark: SparkSession, d: str) -> DataFrame:
+    f = I.genotype_spectra_of_pairs(_gl(spark, d), SAMPLES)
+    return spark.createDataFrame([(a, b, i, j, round(float(x[i, j]), 5)) for (a, b), x in f.items() for i in range(10) for j in range(10)], "sample1 int, sample2 int, g1 int, g2 int, freq double")
 
 
 @query()
 def admixture_shares(spark: SparkSession, d: str) -> DataFrame:
-    l3 = _l3(spark, d)
-    rows = F.map_from_entries(F.collect_list(F.struct(F.col("sample").cast("int"), F.array("l0", "l1", "l2"))))
-    flat = F.array(*[F.lit(1.0)] * 3)
-    sites = l3.groupBy("chr", "pos").agg(rows.alias("m")).select("chr", "pos", F.flatten(F.array(*(F.coalesce(F.try_element_at("m", F.lit(s)), flat) for s in SAMPLES))).alias("l3"))
-    q, _, _ = I.admixture(sites, 10, 2, 10)
+    q, _, _ = I.admixture(I.informative_sites(I.full_sites(_l3(spark, d), SAMPLES), 10), 10, 2)
     return spark.createDataFrame([(s, k, round(float(q[s, k]), 4)) for s in SAMPLES for k in range(2)], "sample int, k int, share double")
 
 
@@ -196,12 +191,12 @@ def allele_set_calls(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def coalescence_times(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(decode(psmc_windows(spark, d), 12), "mean_time")
+    return rounded(decode(psmc_windows(spark, d), 12, by=("sample", "chr")), "mean_time")
 
 
 @query()
 def block_spectra(spark: SparkSession, d: str) -> DataFrame:
-    b = S.block_spectra(_saf(spark, d, SAMPLES[:5]), 100, 11)
+    b = S.block_spectra(_saf(spark, d, SAMPLES), 100, 21)
     return b.select("chr", "block", "n_sites", F.posexplode("sfs").alias("bin", "value")).withColumn("value", F.round("value", 3))
 
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lociforge.operators.counting import N4
 
@@ -28,26 +24,18 @@ def deduplicated(rows: DataFrame, key: str, ts: str, late: str = "1 day") -> Dat
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def theta_windows_stream(sites: DataFrame, size: int) -> DataFrame:
-    """Tumbling window sums of theta for position-sorted streams of each contig: a window is emitted when a later position arrives.
+def theta_windows_stream(sites: DataFrame, size: int, ts: str | None = None, late: str = "1 day") -> DataFrame:
+    """Tumbling window sums of theta for a stream of sites: ``chr, win, tw, tp, n_sites`` (and ``ts`` below).
 
-    The state of a contig is its open window; positions behind it are late and are ignored.  ``chr, win, tw, tp, n_sites``.
+    The state is keyed by contig and window, so a contig's windows are spread over the cluster, and sites may arrive in any order.  Without
+    ``ts`` (update or complete mode) each trigger gives the running sums of the windows it changed, the newest row of a window counts and
+    nothing is ever left out.  With the event-time column ``ts`` (append mode) a window's sums come out once when nothing of it has arrived for
+    ``late``, with their last time; sites that come after that form a further row of the window, to be added up by the reader, and
+    only those later than ``late`` behind the newest of all are dropped.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        win, tw, tp, n = state.get if state.exists else (-1, 0.0, 0.0, 0)
-        out = []
-        for pdf in batches:
-            for w, part in pdf.assign(w=pdf["pos"] // size).groupby("w", sort=True):
-                if w < win:
-                    continue
-                if w > win:
-                    if win >= 0:
-                        out.append((key[0], win, tw, tp, n))
-                    win, tw, tp, n = int(w), 0.0, 0.0, 0
-                tw, tp, n = tw + float(part["tw"].sum()), tp + float(part["tp"].sum()), n + len(part)
-        state.update((win, tw, tp, n))
-        yield pd.DataFrame(out, columns=["chr", "win", "tw", "tp", "n_sites"])
-
-    kind = dict(sites.dtypes)["chr"]
-    return sites.groupBy("chr").applyInPandasWithState(step, f"chr {kind}, win bigint, tw double, tp double, n_sites bigint", "win bigint, tw double, tp double, n bigint", "append", GroupStateTimeout.NoTimeout)
+    win = F.floor(F.col("pos") / size).alias("win")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("tw", "tp")] + [F.count(F.lit(1)).alias("n_sites")]
+    if ts is None:
+        return sites.groupBy("chr", win).agg(*sums)
+    g = sites.withWatermark(ts, late).groupBy("chr", win, F.session_window(ts, late).alias("__s")).agg(*sums)
+    return g.select("chr", "win", F.col("__s.end").alias("ts"), "tw", "tp", "n_sites")
