@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm.clusters import cluster_labels, cluster_members, describe_clusters
+from lociforge.llm.clusters import RADIUS, SCALE, SLACK, cluster_labels, describe_clusters
 from lociforge.llm.leaks import MIN_RUN, leaks
 from lociforge.llm.mixing import mix
 from lociforge.llm.percentiles import percentiles, site_values, skewed_groups
@@ -19,7 +19,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return describe_clusters(cluster_members(table(spark, d, "beagle_genos")))
+    return describe_clusters(table(spark, d, "beagle_genos")).withColumn("mean_distance", F.round("mean_distance", 5))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,28 @@ p as (select {group}, field, max(total)::bigint as total, {picks} from c group b
 """
 
 
+_P2 = f"""
+with recursive u as (select distinct on (rec_id) rec_id, panel_id, nind, genos from beagle_genos where panel_id is not null and rec_id is not null and nind > 0 and genos is not null and len(genos) = 3 * nind),
+e as (select rec_id, panel_id, nind, i, genos[3 * i + 1] as a, genos[3 * i + 2] as b, genos[3 * i + 3] as c from (select *, unnest(range(nind)) as i from u)),
+t as (select rec_id, panel_id, nind, i, round(a / (a + b + c) * {SCALE})::int as x, round(b / (a + b + c) * {SCALE})::int as y from e
+  where isfinite(a + b + c) and a + b + c > 0 and a >= 0 and b >= 0 and c >= 0 and not (a = b and b = c)),
+v as (select *, greatest({SCALE} - x - y, 0) as z from t),
+d as (select p.panel_id, p.rec_id as r1, q.rec_id as r2, sum(abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z)) / (2.0 * {SCALE} * count(*)) as d
+  from v p join v q on p.panel_id = q.panel_id and p.nind = q.nind and p.i = q.i and p.rec_id < q.rec_id group by all),
+k as (select r1, r2 from d where d <= {RADIUS + SLACK}),
+links as (select r1 as a, r2 as b from k union all select r2, r1 from k),
+walk as (select distinct a as rec_id, a as seen from links union select w.rec_id, l.b from walk w join links l on l.a = w.seen),
+g as (select rec_id, min(seen) as cluster_id from walk group by rec_id)
+"""
+
+
 SQL = {
+    "p2_found": _P2 + "select rec_id, cluster_id from g",
+    "p2_clusters": _P2
+    + """, m as (select g.cluster_id, g.rec_id, avg(d) as far from g join g h on h.cluster_id = g.cluster_id and h.rec_id <> g.rec_id
+  join d on d.r1 = least(g.rec_id, h.rec_id) and d.r2 = greatest(g.rec_id, h.rec_id) group by all),
+o as (select *, row_number() over (partition by cluster_id order by round(far, 6), rec_id) as k, count(*) over (partition by cluster_id) as size from m)
+select cluster_id, size, k::int as medoid_rank, rec_id, round(far, 5) as mean_distance from o where k <= 3""",
     "p4_found": _p4_sql("run_id", [5, 50, 95]) + "select run_id, field from p where p95 - p50 > 4 * (p50 - p5)",
     "p4_runs": _p4_sql("run_id", [5, 25, 50, 75, 95, 99]) + "select * from p",
     "p4_contigs": _p4_sql("ref_id", [5, 25, 50, 75, 95, 99]) + "select * from p",
