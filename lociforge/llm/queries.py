@@ -41,8 +41,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     sites = table(spark, d, "theta_sites")
     cut = pieces(sites, table(spark, d, "realsfs_args"))
-    n = piece_sites(sites, cut).groupBy("block_id", "piece").agg(F.count(F.lit(1)).alias("n_sites"), F.min("posi").alias("first_posi"), F.max("posi").alias("last_posi"))
-    return cut.join(n, ["block_id", "piece"])
+    n = piece_sites(sites, cut).groupBy("block_id", "piece_start").agg(F.count(F.lit(1)).alias("n_sites"), F.min("posi").alias("first_posi"), F.max("posi").alias("last_posi"))
+    return cut.join(n, ["block_id", "piece_start"])
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
