@@ -126,6 +126,10 @@ g as (select rec_id, min(seen) as cluster_id from walk group by rec_id)
 
 
 SQL = {
+    "p8_found": """
+with t as (select lower(trim(source_name)) as source_name, max({'s': target_share, 'r': max_repeats}) as w from mix_targets where source_name is not null group by 1),
+z as (select t.source_name, w, coalesce(sum(length(text)), 0) as size from t left join documents d on lower(trim(d.source)) = t.source_name group by all)
+select source_name from z where w.r * size < w.s * (select sum(size) from z)""",  # any usual tokenizer gives the same cases, characters too
     "p2_found": _P2 + "select rec_id, cluster_id from g",
     "p2_clusters": _P2
     + """, m as (select g.cluster_id, g.rec_id, avg(d) as far from g join g h on h.cluster_id = g.cluster_id and h.rec_id <> g.rec_id

@@ -18,9 +18,11 @@ from lociforge.llm.words import INVISIBLE, Buckets, summed
 FEATURES = 1 << 18
 #: Labelled documents used for the fit at most, the ones with the smallest hash of their id.
 SAMPLE = 20_000
+#: Least number of held-out graded texts for a calibration.
+HELD_OUT = 50
 #: Levels, and the strength of the ridge penalty.
 LEVELS, RIDGE = (1, 2, 3, 4, 5), 1e-3
-# Function words that tell the languages apart, plain and subordinating or formal connectives, relative words.
+# Function words that tell the languages apart, plain and subordinating or formal connectives, relative words.
 FUNCTION = {
     "en": "the a an of and is are there with from to in it that",
     "de": "der die das ein eine und ist es gibt mit von den dem nicht",
@@ -80,8 +82,9 @@ def features(text: str, bucket: Buckets, logshare: np.ndarray) -> np.ndarray | N
     rare = logshare[bucket(ws)]
     kinds = np.bincount(np.searchsorted(RARITY, rare) * (len(LENGTH) + 1) + np.searchsorted(LENGTH, length, side="right"), minlength=(len(RARITY) + 1) * (len(LENGTH) + 1)) / n
     table = np.bincount([i for w in ws if w in _CELLS for i in _CELLS[w]], minlength=4 * _LANGS).reshape(4, _LANGS)
+    known = table[0].any()  # a text without function words of these languages has no language: all their signs count
     lang = int(np.argmax(table[0]))
-    signs = table[1:, lang].astype(np.float64)
+    signs = (table[1:, lang] if known else table[1:].max(axis=1)).astype(np.float64)
     commas, semis = text.count(","), text.count(";")
     clauses = (commas + semis + signs[1]) / n_s
     base = [
@@ -89,7 +92,7 @@ def features(text: str, bucket: Buckets, logshare: np.ndarray) -> np.ndarray | N
         commas / n_s, semis / n_s, np.log1p(clauses), *(signs / n_s), *(signs / n), np.log1p(signs[1]), (length >= 9).mean(), (length >= 12).mean(),
     ]
     one = np.zeros(len(FUNCTION))
-    one[lang] = 1
+    one[lang] = known
     base = np.array(base)
     # a language's own slope for the length features, whose scale differs between languages
     own = np.outer(one, [length.mean(), np.log(n / n_s), (length >= 9).mean(), rare.mean()]).ravel()
@@ -108,6 +111,15 @@ class Ordinal:
     def score(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 
+    def calibrated(self, x: np.ndarray, level: np.ndarray) -> Ordinal:
+        """The model with its score stretched and its cuts moved to fit graded texts that weren't used for the fit."""
+        s = self.score(x)[:, None]
+        m = fit_ordinal(s, level, 0.0)
+        factor = float(m.weights[0] / m.scale[0])
+        if not np.isfinite(factor) or factor <= 0:
+            return self
+        return Ordinal(self.mean, self.scale, self.weights * factor, m.cuts + factor * float(m.mean[0]))
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """P(level) for each row and level."""
         above = _sigmoid(self.score(x)[:, None] - self.cuts)
@@ -180,7 +192,7 @@ def word_shares(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log10((counts + 0.5) / max(counts.sum(), 1)).astype(np.float32)
 
 
-def _median_level(labels: DataFrame) -> DataFrame:
+def _mean_level(labels: DataFrame) -> DataFrame:
     """One level a document: the mean of its raters' levels (each label counts in the fit through rounding to the nearest)."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("reading_level").between(LEVELS[0], LEVELS[-1]))
     return good.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("reading_level").alias("level"))
@@ -188,7 +200,7 @@ def _median_level(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, logshare: np.ndarray, sample: int = SAMPLE) -> Ordinal | None:
     """The model from at most ``sample`` labelled documents (those whose id has the smallest hash); None without labels."""
-    graded = _median_level(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    graded = _mean_level(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(graded, "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(logshare)
 
@@ -203,19 +215,36 @@ def fit(docs: DataFrame, labels: DataFrame, logshare: np.ndarray, sample: int =
     if got.num_rows < 20 or len(set(got["level"].to_pylist())) < 2:
         return None
     x = np.frombuffer(b"".join(got["x"].to_pylist())).reshape(got.num_rows, -1)
-    return fit_ordinal(x, np.asarray(got["level"]))
+    return fit_calibrated(x, np.asarray(got["level"]), np.asarray(got["doc_id"]))
+
+
+def fit_calibrated(x: np.ndarray, level: np.ndarray, ids: np.ndarray, held: int = HELD_OUT) -> Ordinal:
+    """A fit to four fifths of the graded texts, calibrated on the last fifth (by a hash of the id) where that holds at least ``held`` texts."""
+    out = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(5) == 0
+    if out.sum() < held or len(np.unique(level[out])) < 2:
+        return fit_ordinal(x, level)
+    return fit_ordinal(x[~out], level[~out]).calibrated(x[out], level[out])
+
+
+def calibration_error(model: Ordinal, x: np.ndarray, level: np.ndarray, above: int = 3, bins: int = 10) -> float:
+    """Expected calibration error of P(level > above): the mean gap between forecast and observed share over bins of the forecast."""
+    p = model.probabilities(x)[:, above:].sum(axis=1)
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    return float(sum(abs(p[at == k].sum() - (level[at == k] > above).sum()) for k in range(bins)) / max(len(p), 1))
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, reading_level, expected_level, demanding``: level 1 (first reader) to 5 (specialist) of every document.
 
     ``reading_level`` is the median level under the model, ``expected_level`` the mean, ``demanding`` the probability of level 4 or 5.
-    Null texts and texts without a word get nulls.  Texts are read whole, in any language; the language tag isn't used.  A document with
+    Null texts and texts without a word get nulls.  Texts are read whole; the language tag isn't used.
+    Connectives and clause words are known in English, German, French and Spanish, the language being the one with most function words; a text without any
+    of these is judged by rarity, diversity and lengths, and by such connectives as it shares with one of them.  A document with
     several labels counts once, with their mean; null levels and levels outside 1-5 don't count; other columns are ignored; repeated
     documents all get their level.  With fewer than 20 labelled documents there is no model and all levels are null.
 
     Word counts cover the whole corpus (one distributed pass into a table of fixed size), the regression is fitted on the
-    driver to a bounded sample of labelled documents, and a second pass scores every document.  Nothing is shuffled.
+    driver to a bounded sample of labelled documents and calibrated on a held-out fifth of it, and a second pass scores every document.  Nothing is shuffled.
     """
     logshare = word_shares(docs)
     model = fit(docs, labels, logshare, sample)

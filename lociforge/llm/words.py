@@ -45,11 +45,16 @@ class Buckets:
         return out
 
 
+#: Tables added up by one task in each round of ``summed``, and tasks that read the input, for each core, at most.
+FAN, READERS = 16, 4
+
+
 def summed(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], shape: tuple[int, int], block: int = 1024) -> np.ndarray:
     """The sum over all partitions of the arrays that ``fill`` adds to; ``shape`` is fixed and must not grow with the data.
 
-    Each task keeps one array and emits it in blocks of rows; blocks are summed in two rounds, so that no task reads more than a
-    small share of the partitions' arrays, and the driver gets one array of ``shape``.
+    Each task keeps one array and emits it in blocks of rows.  An input of more partitions than READERS for each core is read by fewer tasks, but at
+    least a sixteenth as many, so that fewer arrays come out.  Blocks are added up in a tree: every round a task takes those of FAN
+    tasks of the round before, until one array is left for the driver; the widths follow the input, no round has a fixed number of tasks.
     """
     height, width = shape
     schema = "block int, part int, data binary"
@@ -66,7 +71,7 @@ def summed(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray],
         for at in range(0, height, block):
             part_sum = total[at : at + block]
             if part_sum.any():
-                yield emit([(at, part, part_sum.astype(np.float64).tobytes())])
+                yield emit([(at, part, part_sum.tobytes())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -78,11 +83,17 @@ def summed(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray],
         for (at, part), x in sums.items():
             yield emit([(at, part, x.tobytes())])
 
-    first = df.mapInArrow(partial, schema).select("block", (F.col("part") % 32).cast("int").alias("part"), "data")
-    n = -(-height // block)
-    second = first.repartition(min(n * 2, 64), "block", "part").mapInArrow(add, schema).select("block", F.lit(0).alias("part"), "data")
-    done = second.repartition(min(n, 16), "block").mapInArrow(add, schema)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, df.rdd.getNumPartitions())
+    fewer = min(tasks, max(READERS * cores, -(-tasks // FAN)))
+    sums = (df.coalesce(fewer) if fewer < tasks else df).mapInArrow(partial, schema)
+    blocks = -(-height // block)
+    while True:
+        tasks, fewer = fewer, -(-fewer // FAN)
+        sums = sums.select("block", F.floor(F.col("part") / FAN).cast("int").alias("part"), "data").repartition(min(blocks * fewer, max(cores, -(-blocks * fewer // 8))), "block", "part").mapInArrow(add, schema)
+        if fewer == 1:
+            break
     out = np.zeros(shape, np.float64)
-    for at, _, data in done.collect():
+    for at, _, data in sums.collect():
         out[at : at + block] = np.frombuffer(data).reshape(-1, width)
     return out
