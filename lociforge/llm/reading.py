@@ -18,8 +18,8 @@ from lociforge.llm.words import INVISIBLE, Buckets, summed
 FEATURES = 1 << 18
 #: Labelled documents used for the fit at most, the ones with the smallest hash of their id.
 SAMPLE = 20_000
-#: Least number of held-out graded texts for a calibration.
-HELD_OUT = 50
+#: Least number of graded texts for a calibration.
+CALIBRATED = 200
 #: Levels, and the strength of the ridge penalty.
 LEVELS, RIDGE = (1, 2, 3, 4, 5), 1e-3
 # Function words that tell the languages apart, plain and subordinating or formal connectives, relative words.
@@ -61,7 +61,7 @@ def clean(text: str) -> str:
     """Text without invisible characters and markup; line breaks written as tags become line breaks."""
     if "<" in text or "&" in text:
         text = _MARKUP.sub("\n", text)
-    return text if text.isascii() else unicodedata.normalize("NFKC", text.translate(INVISIBLE))
+    return text if text.isascii() else unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
 
 
 def tokens(text: str) -> list[str]:
@@ -79,7 +79,8 @@ def features(text: str, bucket: Buckets, logshare: np.ndarray) -> np.ndarray | N
     sentences = [len(x) for x in parts]
     n_s = len(sentences)
     length = np.fromiter(map(len, ws), np.float64, n)
-    rare = logshare[bucket(ws)]
+    rare = logshare[bucket(ws)].astype(np.float64)
+    long_mean, rare_mean = float(length.sum()) / n, float(rare.sum()) / n
     kinds = np.bincount(np.searchsorted(RARITY, rare) * (len(LENGTH) + 1) + np.searchsorted(LENGTH, length, side="right"), minlength=(len(RARITY) + 1) * (len(LENGTH) + 1)) / n
     table = np.bincount([i for w in ws if w in _CELLS for i in _CELLS[w]], minlength=4 * _LANGS).reshape(4, _LANGS)
     known = table[0].any()  # a text without function words of these languages has no language: all their signs count
@@ -88,14 +89,14 @@ def features(text: str, bucket: Buckets, logshare: np.ndarray) -> np.ndarray | N
     commas, semis = text.count(","), text.count(";")
     clauses = (commas + semis + signs[1]) / n_s
     base = [
-        np.log(n), np.log(n / n_s), np.log(max(sentences)), length.mean(), rare.mean(), rare.std(), len(set(ws)) / np.sqrt(n), len(set(ws)) / n,
-        commas / n_s, semis / n_s, np.log1p(clauses), *(signs / n_s), *(signs / n), np.log1p(signs[1]), (length >= 9).mean(), (length >= 12).mean(),
+        np.log(n), np.log(n / n_s), np.log(max(sentences)), long_mean, rare_mean, np.sqrt(max(float(rare @ rare) / n - rare_mean**2, 0.0)), len(set(ws)) / np.sqrt(n), len(set(ws)) / n,
+        commas / n_s, semis / n_s, np.log1p(clauses), *(signs / n_s), *(signs / n), np.log1p(signs[1]), np.count_nonzero(length >= 9) / n, np.count_nonzero(length >= 12) / n,
     ]
     one = np.zeros(len(FUNCTION))
     one[lang] = known
     base = np.array(base)
     # a language's own slope for the length features, whose scale differs between languages
-    own = np.outer(one, [length.mean(), np.log(n / n_s), (length >= 9).mean(), rare.mean()]).ravel()
+    own = np.outer(one, [long_mean, np.log(n / n_s), np.count_nonzero(length >= 9) / n, rare_mean]).ravel()
     return np.concatenate([base, kinds, one, own])
 
 
@@ -111,10 +112,9 @@ class Ordinal:
     def score(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 
-    def calibrated(self, x: np.ndarray, level: np.ndarray) -> Ordinal:
-        """The model with its score stretched and its cuts moved to fit graded texts that weren't used for the fit."""
-        s = self.score(x)[:, None]
-        m = fit_ordinal(s, level, 0.0)
+    def calibrated(self, scores: np.ndarray, level: np.ndarray) -> Ordinal:
+        """The model with its score stretched and its cuts moved to fit graded texts whose scores come from fits without them."""
+        m = fit_ordinal(scores[:, None], level, 0.0, steady=1e-3)
         factor = float(m.weights[0] / m.scale[0])
         if not np.isfinite(factor) or factor <= 0:
             return self
@@ -131,7 +131,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_ordinal(x: np.ndarray, level: np.ndarray, ridge: float = RIDGE, rounds: int = 60, error: float = 0.02) -> Ordinal:
+def fit_ordinal(x: np.ndarray, level: np.ndarray, ridge: float = RIDGE, rounds: int = 60, error: float = 0.02, steady: float = 2.0) -> Ordinal:
     """Maximum penalised likelihood by damped Fisher scoring on the stacked threshold problems.
 
     Every level boundary is one binary problem with common weights and its own cut.  Raters err now and then: observations are
@@ -144,7 +144,7 @@ def fit_ordinal(x: np.ndarray, level: np.ndarray, ridge: float = RIDGE, rounds:
     above = (level[:, None] > np.array(LEVELS[:-1])).astype(float)
     share = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
     w, c = np.zeros(z.shape[1]), -np.log(share / (1 - share))
-    pen = ridge * len(z) * k + 2  # the constant steadies the fit to a few hundred labels
+    pen = ridge * len(z) * k + steady  # the constant steadies the fit to a few hundred labels
 
     def loss(w: np.ndarray, c: np.ndarray) -> float:
         p = np.clip(_sigmoid((z @ w)[:, None] - c), 1e-12, 1 - 1e-12)
@@ -218,12 +218,21 @@ def fit(docs: DataFrame, labels: DataFrame, logshare: np.ndarray, sample: int =
     return fit_calibrated(x, np.asarray(got["level"]), np.asarray(got["doc_id"]))
 
 
-def fit_calibrated(x: np.ndarray, level: np.ndarray, ids: np.ndarray, held: int = HELD_OUT) -> Ordinal:
-    """A fit to four fifths of the graded texts, calibrated on the last fifth (by a hash of the id) where that holds at least ``held`` texts."""
-    out = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(5) == 0
-    if out.sum() < held or len(np.unique(level[out])) < 2:
-        return fit_ordinal(x, level)
-    return fit_ordinal(x[~out], level[~out]).calibrated(x[out], level[out])
+def fit_calibrated(x: np.ndarray, level: np.ndarray, ids: np.ndarray, least: int = CALIBRATED, folds: int = 5) -> Ordinal:
+    """The fit to all graded texts, calibrated where there are at least ``least``: each fifth (by a hash of the id) is scored by a fit to the other
+    four, and these held-out scores say how far the model's score is to be stretched and where its cuts lie."""
+    model = fit_ordinal(x, level)
+    if len(x) < least:
+        return model
+    fold = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(folds)
+    scores = np.empty(len(x))
+    for k in range(folds):
+        out = fold == k
+        if len(np.unique(level[~out])) < 2:
+            return model
+        part = fit_ordinal(x[~out], level[~out])
+        scores[out] = part.score(x[out]) - part.score(x).mean() + model.score(x).mean()  # cuts are relative to the mean score
+    return model.calibrated(scores, level)
 
 
 def calibration_error(model: Ordinal, x: np.ndarray, level: np.ndarray, above: int = 3, bins: int = 10) -> float:
@@ -244,7 +253,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     documents all get their level.  With fewer than 20 labelled documents there is no model and all levels are null.
 
     Word counts cover the whole corpus (one distributed pass into a table of fixed size), the regression is fitted on the
-    driver to a bounded sample of labelled documents and calibrated on a held-out fifth of it, and a second pass scores every document.  Nothing is shuffled.
+    driver to a bounded sample of labelled documents and calibrated on scores that each fifth of it gets from the rest, and a second pass scores every document.  Nothing is shuffled.
     """
     logshare = word_shares(docs)
     model = fit(docs, labels, logshare, sample)

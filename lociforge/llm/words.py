@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Soft hyphen and zero-width characters, which never belong to a word (fixed values).
-INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x180E])
+INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e]")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = re.compile(r"[a-z0-9]+")
 
@@ -23,7 +23,7 @@ def words(text: str) -> list[str]:
     """Longest runs of letters and digits, after removing invisible characters, NFKC and full case folding."""
     if text.isascii():
         return _ASCII.findall(text.lower())
-    return _WORD.findall(unicodedata.normalize("NFKC", text.translate(INVISIBLE)).casefold())
+    return _WORD.findall(unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).casefold())
 
 
 class Buckets:
