@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 START, ROUNDS, TOLERANCE = 0.001, 100, 1e-5
 
@@ -189,6 +190,34 @@ def frequencies(sites: DataFrame, rounds: int = ROUNDS, tol: float = TOLERANCE,
     return sites.mapInArrow(run, schema + ", freq double, lrt double, p_value double")
 
 
+def inbred_frequencies(l3: DataFrame, people: DataFrame, rounds: int = ROUNDS, tol: float = TOLERANCE) -> DataFrame:
+    """``chr, pos, major, minor, n, freq`` with each sample's inbreeding coefficient (table sample, inbreeding; 0 where there is none)."""
+    rows = F.sort_array(F.collect_list(F.struct("sample", "l0", "l1", "l2", F.coalesce("inbreeding", F.lit(0.0)).alias("f"))))
+    g = l3.join(people.select("sample", "inbreeding"), "sample", "left").groupBy("chr", "pos", "major", "minor").agg(rows.alias("r"))
+    g = g.select("chr", "pos", "major", "minor", F.flatten(F.transform("r", lambda x: F.array(x["l0"], x["l1"], x["l2"]))).alias("l3"), F.col("r.f").alias("f"))
+    names = ["chr", "pos", "major", "minor", "n", "freq"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = Ragged(*_flat(b["l3"]))
+            p = em_frequency(r, START, rounds, tol, np.asarray(b["f"].flatten(), dtype=np.float64))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names[:4]), pa.array(r.sizes.astype(np.int32)), pa.array(p)], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*names[:4]).schema)
+    return g.mapInArrow(run, schema + ", n int, freq double")
+
+
+def hwe_filter(hwe: DataFrame, min_p: float = 0.0, min_het: float = 0.0, max_het: float = 1.0, min_f: float | None = None, max_f: float | None = None) -> DataFrame:
+    """Positions of ``hardy_weinberg`` in equilibrium (p-value above ``min_p``), with a frequency of heterozygotes and an inbreeding coefficient
+    within limits."""
+    ok = (F.greatest("lrt", F.lit(0.0)) < chi2_threshold(min_p) if min_p > 0 else F.lit(True)) & F.col("het_freq").between(min_het, max_het)
+    if min_f is not None:
+        ok &= F.col("f") >= min_f
+    if max_f is not None:
+        ok &= F.col("f") <= max_f
+    return hwe.where(ok)
+
+
 def hardy_weinberg(sites: DataFrame, rounds: int = 50, tol: float = 1e-5) -> DataFrame:
     """Adds ``hwe_freq`` (EM without inbreeding), ``freq`` and ``f`` (joint EM), ``lrt``, ``p_value`` and ``het_freq``."""
     cols = [c for c in sites.columns if c not in ("l3", "samples")]

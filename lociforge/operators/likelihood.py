@@ -134,6 +134,24 @@ def call_genotypes(post: DataFrame, cutoff: float = 1 / 3) -> DataFrame:
     return post.select(*SITE, "sample", call.cast("int").alias("geno"), top.alias("prob"))
 
 
+def gate_genotypes(calls: DataFrame, counts: DataFrame, alleles: DataFrame, min_depth: int = 0, max_depth: int | None = None, min_share: float = 0.0, min_ind: int = 0) -> DataFrame:
+    """Calls with -1 where the sample's depth at the position is out of bounds, or where a heterozygote's rarer allele has less than
+    ``min_share`` of the reads; positions with fewer than ``min_ind`` calls left are dropped.
+
+    ``counts`` are allele counts by sample, ``alleles`` the positions' major and minor alleles.
+    """
+    cells = F.array("n_a", "n_c", "n_g", "n_t")
+    depth = F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")
+    j = calls.join(counts.select(*SITE, "sample", cells.alias("__n"), depth.alias("__d")), [*SITE, "sample"]).join(alleles.select(*SITE, F.col("major").alias("__a"), F.col("minor").alias("__b")), SITE)
+    bad = F.col("__d") < min_depth
+    if max_depth is not None:
+        bad |= F.col("__d") > max_depth
+    bad |= (F.col("geno") == 1) & (F.least(F.get("__n", F.col("__a")), F.get("__n", F.col("__b"))) < min_share * F.col("__d"))
+    j = j.withColumn("geno", F.when(bad, -1).otherwise(F.col("geno"))).drop("__n", "__d", "__a", "__b")
+    enough = j.where("geno >= 0").groupBy(*SITE).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") >= min_ind) if min_ind > 0 else None
+    return j if enough is None else j.join(enough.drop("__k"), SITE, "left_semi")
+
+
 def drop_transitions(sites: DataFrame) -> DataFrame:
     """Positions whose alleles differ by a transversion."""
     return sites.where(~is_transition(F.col("major"), F.col("minor")))

@@ -180,12 +180,6 @@ def beagle_frequencies(spark: SparkSession, d: str) -> DataFrame:
                     F.round(dose / F.nullif(F.size("good"), F.lit(0)), 6).alias("ppmaf"), F.size("good").cast("bigint").alias("n_ind"))
 
 
-@query()
-def hwe_test(spark: SparkSession, d: str) -> DataFrame:
-    h = E.hardy_weinberg(_sites(spark, d))
-    return rounded(h.select("chr", "pos", "major", "minor", "hwe_freq", "freq", "f", "lrt", "p_value", "het_freq"), "hwe_freq", "freq", "f", "lrt", "p_value", "het_freq", digits=4)
-
-
 # spectra, diversity, fixation
 
 
@@ -194,12 +188,6 @@ def _saf(spark: SparkSession, d: str, samples: list[int]) -> DataFrame:
     return E.allele_frequency_likelihoods(sites, len(samples))
 
 
-@query()
-def saf_likelihoods(spark: SparkSession, d: str) -> DataFrame:
-    s = _saf(spark, d, SAMPLES)
-    return s.select("chr", "pos", F.posexplode("saf").alias("bin", "value")).withColumn("value", F.round("value", 4))
-
-
 @query()
 def sfs_em(spark: SparkSession, d: str) -> DataFrame:
     sfs = S.estimate_spectrum([_saf(spark, d, SAMPLES)], (21,))
@@ -212,12 +200,6 @@ def sfs_em_two_populations(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(*c, round(float(x), 4)) for c, x in zip(S.spectrum_bins((9, 13)), sfs)], "c1 int, c2 int, value double")
 
 
-@query()
-def saf_thetas(spark: SparkSession, d: str) -> DataFrame:
-    t = S.site_thetas(S.site_posterior(_saf(spark, d, SAMPLES), NEUTRAL), 20)
-    return rounded(t, "tw", "tp", "tf", "th", "tl")
-
-
 @query()
 def fst_two_populations(spark: SparkSession, d: str) -> DataFrame:
     one, two = _saf(spark, d, SAMPLES[:4]), _saf(spark, d, SAMPLES[4:])

@@ -13,6 +13,7 @@ from lociforge.operators import models as M
 from lociforge.operators import quality as Q
 from lociforge.operators import spectrum as S
 from lociforge.operators.coalescent import decode
+from lociforge.functions.genotypes import GENOTYPES
 from lociforge.plans.genetics import _BEST, _GL, NEUTRAL, _alleles, _gl, _l3, _saf, _sites, rounded
 from lociforge.plans.pileup import CTE, SAMPLES, pileup
 
@@ -46,7 +47,16 @@ def calibration_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.calibration(pileup(spark, d)), "p0", "p1", "p2", "p3", digits=6)
 
 
-@query()
+_TEN = "[" + ", ".join(f"sum(ln((p[{a + 1}] + p[{b + 1}]) / 2))" for a, b in GENOTYPES) + "]"
+_TEN_OUT = "select chr, pos, sample, " + ", ".join(f"round(g[{i + 1}] - list_max(g), 4) + 0 as g{i}" for i in range(10)) + " from g0"
+
+
+@query(CTE + f""", x as (select *, case when is_rev then isop else posi end as cycle from r),
+c as (select qs, cycle, ref, [(count(*) filter (base = b) + 1) / (count(*) + 4.0) for b in [0, 1, 2, 3]] as p from x group by all)
+select 1""".replace("[(count(*) filter (base = b) + 1) / (count(*) + 4.0) for b in [0, 1, 2, 3]]", "[" + ", ".join(f"(count(*) filter (base = {b}) + 1) / (count(*) + 4.0)" for b in range(4)) + "]").replace("select 1", f"""
+, w as (select qs, cycle, {", ".join(f"any_value(p) filter (ref = {a}) as c{a}" for a in range(4))} from c group by all),
+y as (select chr, pos, sample, [{", ".join(f"coalesce(c{a}[base + 1], 0.25)" for a in range(4))}] as p from x join w using (qs, cycle)),
+g0 as (select chr, pos, sample, {_TEN} as g from y group by all) """ + _TEN_OUT))
 def gl_calibrated(spark: SparkSession, d: str) -> DataFrame:
     r = pileup(spark, d)
     return _ten(M.gl_calibrated(r, M.calibration(r)))
@@ -69,14 +79,6 @@ def allele_models(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.allele_models(M.collected_gl(gl, _alleles(gl))), "unknown_em", "f0", "f1", "f2", "f3", "tri_lrt", "tri_p", digits=4)
 
 
-@query()
-def saf_any_minor(spark: SparkSession, d: str) -> DataFrame:
-    r = pileup(spark, d)
-    anc = r.groupBy("chr", "pos").agg(F.max("anc").alias("major"))
-    s = M.saf_any_minor(L.gl_gatk(r), anc, 10)
-    return s.select("chr", "pos", F.posexplode("saf").alias("bin", "value")).withColumn("value", F.round("value", 4))
-
-
 @query()
 def posterior_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.spectrum_posterior(_sites(spark, d), NEUTRAL, 10), "p0", "p1", "p2", digits=4)
@@ -119,7 +121,13 @@ def psmc_likelihoods(spark: SparkSession, d: str) -> DataFrame:
     return rounded(L.psmc_likelihoods(_gl(spark, d)), "hom", "het")
 
 
-@query()
+_D = "exp(het - hom) - 1"
+
+
+@query(_GL + f""", p as (select chr, pos, sample, ln((exp(g[1]) + exp(g[5]) + exp(g[8]) + exp(g[10])) / 4) as hom, ln((exp(g[2]) + exp(g[3]) + exp(g[4]) + exp(g[6]) + exp(g[7]) + exp(g[9])) / 6) as het from g),
+d as (select sample, list({_D}) as d from p group by sample),
+b as (select sample, list_reduce(range(60), lambda s, i: case when list_sum(list_transform(d, lambda v: v / (1 + (s[1] + s[2]) / 2 * v))) > 0 then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end, [0.0::double, 1.0::double]) as s from d)
+select sample, chr, pos // 100 as win, count(*) as n_sites, bool_or(exp(het) * s[1] / (exp(het) * s[1] + exp(hom) * (1 - s[1])) > 0.9) as is_het from p join b using (sample) group by all""")
 def psmc_windows(spark: SparkSession, d: str) -> DataFrame:
     p = L.psmc_likelihoods(_gl(spark, d))
     return I.heterozygous_windows(p, I.heterozygosity(p))
@@ -157,26 +165,31 @@ def _contamination(spark: SparkSession, d: str) -> DataFrame:
     return I.contamination_sites(C.allele_counts(r, ("pos",)), snps)
 
 
-@query()
+@query(CTE + """, c as (select pos, count(*) as d, greatest(count(*) filter (base = 0), count(*) filter (base = 1), count(*) filter (base = 2), count(*) filter (base = 3)) as m from r group by pos),
+s as (select p_partkey as snp, 0.1 + (p_partkey % 7) / 20.0 as freq from part where p_partkey % 9 = 4),
+n as (select snp, freq, unnest(range(snp - 4, snp + 5)) as pos from s), j as (select snp, freq, d, d - m as o, n.pos = snp as here from n join c using (pos)),
+x as (select freq, sum(d) filter (here)::double as depth, sum(o) filter (here)::double as other, sum(d) filter (not here)::double as fd, sum(o) filter (not here)::double as fo from j group by snp, freq having count(*) = 9),
+t as (select sum(fo) / sum(fd) as eps, sum(fo) as so, sum(fd) as sd, sum(freq) as sf, sum(other / depth) as sr, count(*) as n, list({'f': freq, 'd': depth, 'o': other}) as k from x),
+l as (select (so - fo) / (sd - fd) as e, ((sr - other / depth) / (n - 1) - (so - fo) / (sd - fd)) / ((sf - freq) / (n - 1) * (1 - 4 * (so - fo) / (sd - fd) / 3)) as one from x, t),
+v as (select var_pop(one) as v from l),
+b as (select list_reduce(range(60), lambda s, i: case when list_sum(list_transform(k, lambda q: (q.o / ((s[1] + s[2]) / 2 * q.f * (1 - 4 * eps / 3) + eps) - (q.d - q.o) / (1 - (s[1] + s[2]) / 2 * q.f * (1 - 4 * eps / 3) - eps)) * q.f)) > 0
+  then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end, [1e-6::double, 0.5::double]) as s from t)
+select round(eps, 4) as eps, round((sr / n - eps) / (sf / n * (1 - 4 * eps / 3)), 4) as estimate, round(sqrt(v * (n - 1)), 4) as se, n as n_sites, round(s[1], 4) as ml from t, v, b""")
 def contamination_estimate(spark: SparkSession, d: str) -> DataFrame:
     s = _contamination(spark, d)
     ml = I.contamination_likelihood(s)
     return rounded(I.contamination_moments(s).withColumn("ml", F.lit(ml)), "eps", "estimate", "se", "ml", digits=4)
 
 
-@query()
-def branch_statistics(spark: SparkSession, d: str) -> DataFrame:
-    groups = [SAMPLES[:3], SAMPLES[3:6], SAMPLES[6:]]
-    safs = [_saf(spark, d, g) for g in groups]
-    out = []
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        n1, n2 = 2 * len(groups[i]), 2 * len(groups[j])
-        prior = np.ones((n1 + 1) * (n2 + 1))
-        out.append(S.fst_summary(S.fst_sites(safs[i], safs[j], prior, n1, n2)).first()["fst_weighted"])
-    return spark.createDataFrame([(k, round(float(f), 5), round(float(b), 5)) for k, (f, b) in enumerate(zip(out, S.branch_statistics(*out)))], "pop int, fst double, pbs double")
+_STRATA = "least(posi, isop) as place, posi <= isop as five_prime, is_rev, (qs // 5)::int as qbin"
 
 
-@query()
+@query(CTE + f""", s as (select {_STRATA}, ref, base, count(*) as n from r where anc = ref group by all),
+t as (select place, five_prime, is_rev, qbin, ref, base, (n + 1) / (sum(n) over (partition by place, five_prime, is_rev, qbin, ref) + 4) as rate from s),
+w as (select place, five_prime, is_rev, qbin, {", ".join(f"any_value(rate) filter (ref = {a} and base = {b}) as r{a}{b}" for a in range(4) for b in range(4))} from t group by all),
+x as (select chr, pos, sample, base, qs, {_STRATA} from r),
+y as (select chr, pos, sample, [{", ".join(f"coalesce([{', '.join(f'r{a}{b}' for b in range(4))}][base + 1], case when base = {a} then 1 - pow(10.0, -qs / 10.0) else pow(10.0, -qs / 10.0) / 3 end)" for a in range(4))}] as p from x left join w using (place, five_prime, is_rev, qbin)),
+g0 as (select chr, pos, sample, {_TEN} as g from y group by all) """ + _TEN_OUT)
 def gl_outgroup(spark: SparkSession, d: str) -> DataFrame:
     r = pileup(spark, d)
     return _ten(M.gl_outgroup(r, M.outgroup_rates(M.outgroup_counts(r))))
@@ -198,10 +211,3 @@ def coalescence_times(spark: SparkSession, d: str) -> DataFrame:
 def block_spectra(spark: SparkSession, d: str) -> DataFrame:
     b = S.block_spectra(_saf(spark, d, SAMPLES), 100, 21)
     return b.select("chr", "block", "n_sites", F.posexplode("sfs").alias("bin", "value")).withColumn("value", F.round("value", 3))
-
-
-@query()
-def variable_sites(spark: SparkSession, d: str) -> DataFrame:
-    groups = [SAMPLES[:4], SAMPLES[4:]]
-    flat = [np.ones(2 * len(g) + 1) for g in groups]
-    return S.variable_sites([_saf(spark, d, g) for g in groups], flat)
