@@ -98,14 +98,15 @@ def mismatch_matrix(reads: DataFrame) -> DataFrame:
     return reads.where(ok).groupBy("posi", "isop", "qs", "is_rev", "ref", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ancestral_errors(reads: DataFrame, mode: str = "all") -> DataFrame:
+def ancestral_errors(reads: DataFrame, mode: str = "all", seed: int = 1) -> DataFrame:
     """Counts by ancestral, reference and observed base for each sample, over the genome (chr null) and per contig.
 
-    ``mode`` is all bases, or the first one of each sample and position.
+    ``mode`` is all bases, or the first or a random (by a hash) one of each sample and position.
     """
     r = reads
-    if mode == "first":
-        r = r.groupBy(*SITE, "sample").agg(F.min_by(F.struct("base", "ref", "anc"), F.col("ord")).alias("f")).select("chr", "sample", "f.*")
+    if mode in ("first", "random"):
+        order = F.col("ord") if mode == "first" else F.struct(F.xxhash64(*SITE, "sample", "ord", F.lit(seed)), "ord")
+        r = r.groupBy(*SITE, "sample").agg(F.min_by(F.struct("base", "ref", "anc"), order).alias("f")).select("chr", "sample", "f.*")
     r = r.select("sample", "chr", "anc", "ref", "base")
     return r.groupingSets([["sample", "anc", "ref", "base"], ["sample", "chr", "anc", "ref", "base"]], "sample", "chr", "anc", "ref", "base").agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,6 +133,14 @@ def counts_at(counts: DataFrame, sites: DataFrame, most: int = 3) -> DataFrame:
     return counts.join(sites.select(*SITE).distinct(), SITE, "left_semi").where(F.greatest(*N4) <= most)
 
 
+def thinned_counts(reads: DataFrame, cutoffs: DataFrame, seed: int = 1) -> DataFrame:
+    """Allele counts of each position for error-matched comparisons: ``cutoffs`` (base, min_q, share) keeps bases of a quality above min_q, and
+    of those just one above it the given share, drawn by a hash."""
+    j = reads.where("base between 0 and 3").join(cutoffs.select("base", "min_q", "share"), "base")
+    draw = F.pmod(F.xxhash64(*SITE, "sample", "ord", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    return allele_counts(j.where((F.col("qs") > F.col("min_q") + 1) | ((F.col("qs") == F.col("min_q") + 1) & (draw < F.col("share")))), SITE)
+
+
 def merge_counts(parts: list[DataFrame]) -> DataFrame:
     """Sums of sparse counts by position over several tables."""
     both = parts[0]
@@ -180,6 +189,18 @@ def majority_base(reads: DataFrame, by: tuple[str, ...] = ("chr", "pos", "sample
     return counts.select(*by, ranked(N4).cast("int").alias("base"))
 
 
+def deepest_base(reads: DataFrame, by: tuple[str, ...] = ("chr", "pos")) -> DataFrame:
+    """The base of the highest effective depth of each group, the lowest of several."""
+    depth = effective_depth(reads, by)
+    cols = [f"ebd_{b.lower()}" for b in BASES]
+    return depth.where(F.greatest(*cols) > 0).select(*by, ranked(cols).cast("int").alias("base"))
+
+
+def exploded_bases(bases: DataFrame, ref: DataFrame) -> DataFrame:
+    """Bases at listed positions (chr, pos) only, N elsewhere in their contigs: a consensus that shows variable positions alone."""
+    return bases.join(ref.select(*SITE).distinct(), SITE, "left_semi")
+
+
 def iupac_base(reads: DataFrame, by: tuple[str, ...] = ("chr", "pos")) -> DataFrame:
     """The ambiguity code of all bases seen in each group."""
     counts = allele_counts(reads, by)

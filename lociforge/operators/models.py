@@ -213,6 +213,11 @@ def allele_models(sites: DataFrame) -> DataFrame:
     return sites.select(*SITE, "major", "minor", "n", "gls").mapInArrow(run, schema)
 
 
+def drop_triallelic(models: DataFrame, p: float = 1e-3) -> DataFrame:
+    """Positions of ``allele_models`` without evidence of a third allele at the level p."""
+    return models.where(F.col("tri_p") >= p)
+
+
 def saf_any_minor(gl: DataFrame, major: DataFrame, n: int) -> DataFrame:
     """``chr, pos, saf`` with known ancestral allele: the likelihoods of all three possible minors added up."""
     sites = collected_gl(gl, major)

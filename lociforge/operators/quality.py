@@ -33,15 +33,32 @@ def allele_reads(reads: DataFrame, alleles: DataFrame) -> DataFrame:
     return j.where((F.col("base") == F.col("major")) | (F.col("base") == F.col("minor"))).withColumn("is_minor", F.col("base") != F.col("major"))
 
 
-def rank_test(x: DataFrame, value: Column, name: str) -> DataFrame:
-    """Normal deviate of the rank-sum test of ``value`` between minor and major reads, from a histogram and its running sums."""
-    h = x.groupBy(*SITE, value.alias("v")).agg(F.count_if(~F.col("is_minor")).alias("m1"), F.count_if("is_minor").alias("m2"))
-    w = Window.partitionBy(*SITE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+def rank_tests(x: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Normal deviates of the rank-sum tests of several values between minor and major reads, all from one histogram and its running sums."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("stat"), v.cast("bigint").alias("v")) for k, v in values.items()))).alias("k")
+    h = x.select(*SITE, "is_minor", kinds).groupBy(*SITE, F.col("k.stat").alias("stat"), F.col("k.v").alias("v")).agg(F.count_if(~F.col("is_minor")).alias("m1"), F.count_if("is_minor").alias("m2"))
+    w = Window.partitionBy(*SITE, "stat").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumns({"b1": F.coalesce(F.sum("m1").over(w), F.lit(0)), "b2": F.coalesce(F.sum("m2").over(w), F.lit(0))})
-    g = h.groupBy(*SITE).agg(F.sum(F.col("m2") * (F.col("m1") / 2 + F.col("b1"))).alias("u1"), F.sum(F.col("m1") * (F.col("m2") / 2 + F.col("b2"))).alias("u2"), F.sum("m1").alias("n1"), F.sum("m2").alias("n2"))
+    g = h.groupBy(*SITE, "stat").agg(F.sum(F.col("m2") * (F.col("m1") / 2 + F.col("b1"))).alias("u1"), F.sum(F.col("m1") * (F.col("m2") / 2 + F.col("b2"))).alias("u2"), F.sum("m1").alias("n1"), F.sum("m2").alias("n2"))
     sd = F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12.0)
     z = (F.least("u1", "u2") - F.col("n1") * F.col("n2") / 2.0) / F.nullif(sd, F.lit(0.0))
-    return g.select(*SITE, z.alias(name))
+    return g.groupBy(*SITE).agg(*(F.max(F.when(F.col("stat") == k, z)).alias(k) for k in values))
+
+
+def statistic_filter(stats: DataFrame, min_strand_p: float = 0.0, min_het_p: float = 0.0, max_z: float | None = None, max_sb1: float | None = None) -> DataFrame:
+    """Positions whose quality statistics raise no doubt: exact strand test and test of heterozygotes above their levels, deviates of the rank
+    tests and the strand contrast within limits; a statistic that a position hasn't got doesn't count against it."""
+    ok = F.lit(True)
+    if min_strand_p > 0:
+        ok &= F.coalesce(F.col("sb3_p") >= min_strand_p, F.lit(True))
+    if min_het_p > 0:
+        ok &= F.coalesce(F.col("het_bias_p") >= min_het_p, F.lit(True))
+    if max_z is not None:
+        for c in ("z_qs", "z_mapq", "z_edge"):
+            ok &= F.coalesce(F.abs(c) <= max_z, F.lit(True))
+    if max_sb1 is not None:
+        ok &= F.coalesce(F.abs("sb1") <= max_sb1, F.lit(True))
+    return stats.where(ok)
 
 
 def site_statistics(reads: DataFrame, alleles: DataFrame, hets: DataFrame | None = None) -> DataFrame:
@@ -72,8 +89,7 @@ def site_statistics(reads: DataFrame, alleles: DataFrame, hets: DataFrame | None
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.select(*cols).schema)
     out = s.select(*cols).mapInArrow(fisher, schema + ", sb3_p double")
-    for value, name in ((F.col("qs"), "z_qs"), (F.col("mapq"), "z_mapq"), (F.least("posi", "isop"), "z_edge")):
-        out = out.join(rank_test(x, value, name), SITE)
+    out = out.join(rank_tests(x, {"z_qs": F.col("qs"), "z_mapq": F.col("mapq"), "z_edge": F.least("posi", "isop")}), SITE)
     if hets is not None:
         h = x.join(hets.select(*SITE, "sample"), [*SITE, "sample"]).groupBy(*SITE).agg(F.count_if("is_minor").alias("m"), F.count(F.lit(1)).alias("n"))
 

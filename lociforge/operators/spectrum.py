@@ -389,6 +389,16 @@ def fst_windows(ab: DataFrame, win: int, step: int, kind: int = 0) -> DataFrame:
     return g.select("chr", "win_start", "win_stop", (F.col("r") / F.nullif(F.col("k"), F.lit(0))).alias("fst_unweighted"), (a / F.nullif(b, F.lit(0.0))).alias("fst_weighted"), "n_sites")
 
 
+def fst_from_spectrum(sfs: np.ndarray, n1: int, n2: int, kind: str = "reynolds") -> tuple[float, float]:
+    """Unweighted and weighted index of a joint spectrum of two populations (n1 and n2 chromosomes); the fixed corners are left out."""
+    x = np.array(sfs, float).reshape(n1 + 1, n2 + 1)
+    x[0, 0] = x[n1, n2] = 0
+    a, b = fst_coefficients(n1, n2, kind)
+    w = x.ravel() / x.sum()
+    ok = b != 0
+    return float((w[ok] * a[ok] / b[ok]).sum()), float((w * a).sum() / (w * b).sum())
+
+
 def branch_statistics(f01: float, f02: float, f12: float) -> tuple[float, float, float]:
     """Population branch statistics of three populations from their pairwise indices."""
     t01, t02, t12 = (-np.log(1 - f) for f in (f01, f02, f12))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import genotype, harmonic
 from lociforge.operators import counting as C
+from lociforge.operators import errors as X
 from lociforge.operators import estimators as E
 from lociforge.operators import likelihood as L
 from lociforge.operators import models as M
+from lociforge.operators import pairs as P
 from lociforge.operators import spectrum as S
 from lociforge.plans.counting import _COUNTS
 from lociforge.plans.genetics import _EM, _GL, _LUT, _THREE, NEUTRAL, ROUNDS, _freq, _gl, _l3, _saf, _sites, rounded
@@ -263,3 +265,53 @@ def genotype_calls_gated(spark: SparkSession, d: str) -> DataFrame:
     f = _freq(spark, d, True)
     post = L.posterior(M.long_likelihoods(f, "freq"))
     return L.gate_genotypes(L.call_genotypes(post, 0.8), C.allele_counts(r), f, min_depth=2, max_depth=8, min_share=0.2, min_ind=5).select("chr", "pos", "sample", "geno")
+
+
+# errors and patterns
+
+
+@query(CTE + """, n as (select sample, sum((anc <> base)::int) as x, sum((anc <> ref)::int) as p, sum((anc = ref)::int) as same from r where base between 0 and 3 group by sample)
+select sample, round((x - p) / (same - p)::double, 6) + 0 as rate from n""")
+def ancestral_overall_error(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(X.overall_error(_by_ancestor(spark, d)), "rate", digits=6)
+
+
+def _by_ancestor(spark: SparkSession, d: str) -> DataFrame:
+    return C.ancestral_errors(pileup(spark, d)).where("chr is null")
+
+
+@query()
+def ancestral_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(X.ancestral_error_rates(_by_ancestor(spark, d)), "rate")
+
+
+def _frequencies(spark: SparkSession, d: str) -> DataFrame:
+    pops = spark.createDataFrame([(s, s // 3) for s in SAMPLES], "sample bigint, pop int")
+    return P.population_frequencies(C.allele_counts(pileup(spark, d)), pops)
+
+
+_POPS = _COUNTS + """, w as (select chr, pos, sample // 3 as pop, n_a, n_c, n_g, n_t, (n_a + n_c + n_g + n_t)::double as d from c),
+q as (select chr, pos, pop, [sum(2 * d / (d + 1) * n_a / d) / sum(2 * d / (d + 1)), sum(2 * d / (d + 1) * n_c / d) / sum(2 * d / (d + 1)), sum(2 * d / (d + 1) * n_g / d) / sum(2 * d / (d + 1)), sum(2 * d / (d + 1) * n_t / d) / sum(2 * d / (d + 1))] as f from w group by all),
+k as (select a.chr, (a.pos + 1) // 500 as block, a.f as x, b.f as y, c.f as z, o.f as o from q a join q b on b.chr = a.chr and b.pos = a.pos and b.pop = 1 join q c on c.chr = a.chr and c.pos = a.pos and c.pop = 2 join q o on o.chr = a.chr and o.pos = a.pos and o.pop = 3 where a.pop = 0),
+i as (select unnest(range(256)) as k), t as (select chr, block, i.k as k, sum(x[i.k // 64 + 1] * y[i.k // 16 % 4 + 1] * z[i.k // 4 % 4 + 1] * o[i.k % 4 + 1]) as v from k, i group by all)"""
+
+
+@query(_POPS + " select chr, block, k::int as pattern, round(v, 5) + 0 as n from t")
+def abba_baba_patterns(spark: SparkSession, d: str) -> DataFrame:
+    t = X.pattern_table(_frequencies(spark, d), [(0, 1, 2, 3)], 500)
+    return rounded(t.select("chr", "block", F.posexplode("patterns").alias("pattern", "n")), "n")
+
+
+@query(_POPS + f""", s as (select chr, block, sum(v) filter (k in {tuple(64 * a + 16 * b + 4 * c + e for a, b, c, e in X.ABBA)}) as a, sum(v) filter (k in {tuple(64 * a + 16 * b + 4 * c + e for a, b, c, e in X.BABA)}) as b from t group by all)
+select round((sum(a) - sum(b)) / (sum(a) + sum(b)), 5) as d, count(*) as n_blocks from s""")
+def abba_baba_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """With equal rates of all errors the corrected statistic's sums are the plain ones on a smaller scale; here without any errors."""
+    t = X.pattern_sums(X.corrected_patterns(X.pattern_table(_frequencies(spark, d), [(0, 1, 2, 3)], 500), {p: np.eye(4) for p in range(4)}))
+    j = P.jackknife(t, ["h1", "h2", "h3", "h4"], F.col("n_abba") - F.col("n_baba"), F.col("n_abba") + F.col("n_baba"))
+    return rounded(j.select("d", "n_blocks"), "d")
+
+
+@query(CTE + """, x as (select chr, pos, [coalesce(sum(greatest(4, least(63, qs, mapq))) filter (base = 0), 0), coalesce(sum(greatest(4, least(63, qs, mapq))) filter (base = 1), 0), coalesce(sum(greatest(4, least(63, qs, mapq))) filter (base = 2), 0), coalesce(sum(greatest(4, least(63, qs, mapq))) filter (base = 3), 0)] as e from r group by all)
+select chr, pos, (list_position(e, list_max(e)) - 1)::int as base from x""")
+def deepest_bases(spark: SparkSession, d: str) -> DataFrame:
+    return C.deepest_base(pileup(spark, d))
