@@ -11,72 +11,172 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.operators.estimators import _lists
+from lociforge.sources.blocks import SPLIT, first_block, fixed_records, open_file, spans, stream
+
 # Fixed values of the published BAM format: letters of 4-bit bases and of operations.
 _SEQ, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+_TWO = [_SEQ[x >> 4] + _SEQ[x & 15] for x in range(256)]
 
 
-def _gunzip(data: bytes) -> bytes:
-    """Concatenated gzip members, such as block-compressed files are."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
+def glf(spark: SparkSession, path: str, n_ind: int, width: int = 10, split: int = SPLIT) -> DataFrame:
+    """Flat doubles, 10 (or 3) for each sample and site: ``site, sample, gl``, sites numbered within their file; three values stand for AA, AC and
+    CC.  Records have a fixed length, so raw and block-compressed files are read in spans."""
 
+    def decode(data: bytes, first: int) -> pa.RecordBatch:
+        x = np.frombuffer(data).reshape(-1, n_ind, width)
+        if width == 3:
+            full = np.full((*x.shape[:2], 10), -1.7976931348623157e308)
+            full[:, :, [0, 1, 4]] = x
+            x = full
+        m = len(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + m), n_ind)), pa.array(np.tile(np.arange(n_ind, dtype=np.int32), m)), _lists(x.reshape(-1, 10))], ["site", "sample", "gl"])
 
-def glf(spark: SparkSession, path: str, n_ind: int, width: int = 10) -> DataFrame:
-    """Flat doubles, 10 (or 3) for each sample and site: ``site, sample, gl`` in file order; three values stand for AA, AC and CC.
+    return fixed_records(spark, path, 8 * n_ind * width, decode, "site bigint, sample int, gl array<double>", split)
 
-    Records have a fixed length, so the file is read in splits.
-    """
-    size = 8 * n_ind * width
-    t = spark.read.format("binaryFile").load(path).select("path", "content")
+
+def glf_rows(gl: DataFrame, samples: list, alleles: bool = False) -> DataFrame:
+    """``chr, pos, value``: one site's bytes of such a file from likelihoods (or with ``alleles`` those of major and minor, columns l0, l1, l2)."""
+    width = 3 if alleles else 10
+    value = F.array(*(F.log(F.greatest(f"l{k}", F.lit(1e-300))) for k in range(3))) if alleles else F.col("gl")
+    m = F.map_from_entries(F.collect_list(F.struct("sample", value.alias("v"))))
+    kind = dict(gl.dtypes)["sample"]
+    flat = F.array_repeat(F.lit(0.0), width)
+    g = gl.groupBy("chr", "pos").agg(m.alias("m")).select("chr", "pos", F.flatten(F.array(*(F.coalesce(F.try_element_at("m", F.lit(s).cast(kind)), flat) for s in samples))).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b["content"].to_pylist():
-                data = _gunzip(data) if data[:2] == b"\x1f\x8b" else data
-                a = np.frombuffer(data[: len(data) // size * size]).reshape(-1, n_ind, width)
-                if width == 3:
-                    full = np.full((*a.shape[:2], 10), -1.7976931348623157e308)
-                    full[:, :, [0, 1, 4]] = a
-                    a = full
-                for lo in range(0, len(a), 4096):
-                    x = a[lo : lo + 4096]
-                    m = len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(lo, lo + m), n_ind)), pa.array(np.tile(np.arange(n_ind, dtype=np.int32), m)), pa.array(list(x.reshape(-1, 10)), pa.list_(pa.float64()))], ["site", "sample", "gl"])
-
-    return t.mapInArrow(run, "site bigint, sample int, gl array<double>")
-
-
-def _bam_records(data: bytes) -> Iterator[tuple]:
-    (n_text,) = struct.unpack_from("<i", data, 4)
-    at = 8 + n_text
+            x = np.asarray(b["v"].flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], pa.array([r.tobytes() for r in x], pa.binary())], ["chr", "pos", "value"])
+
+    t = dict(g.dtypes)
+    return g.mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, value binary")
+
+
+def _bam_header(portions: Iterator[tuple[int, bytes]]) -> tuple[list[str], int, int, bytes]:
+    """Contig names, the offset of the portion that holds the first record, its place therein, and that portion's content from there on."""
+    data, ends = b"", []
+
+    def upto(n: int) -> None:
+        nonlocal data
+        while len(data) < n:
+            at, more = next(portions)
+            ends.append((len(data), at))
+            data += more
+
+    upto(8)
+    at = 8 + struct.unpack_from("<i", data, 4)[0]
+    upto(at + 4)
     (n_ref,) = struct.unpack_from("<i", data, at)
     at += 4
     names = []
     for _ in range(n_ref):
+        upto(at + 4)
         (k,) = struct.unpack_from("<i", data, at)
+        upto(at + 8 + k)
         names.append(data[at + 4 : at + 3 + k].decode())
         at += 8 + k
-    order = 0
-    while at + 4 <= len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, nref, npos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p = at + 36
-        name = data[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", data, p)
-        p += 4 * n_cigar
-        packed = data[p : p + (l_seq + 1) // 2]
-        p += (l_seq + 1) // 2
-        seq = "".join(_SEQ[x >> 4] + _SEQ[x & 15] for x in packed)[:l_seq]
-        qual = "".join(chr(33 + min(q, 222)) for q in data[p : p + l_seq])
-        aux = data[p + l_seq : at + 4 + size]
-        yield (order, name, flag, names[ref] if ref >= 0 else None, pos + 1, mapq, "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*", names[nref] if nref >= 0 else None, npos + 1, tlen, seq, qual, _tag(aux, b"RG"))
-        order += 1
-        at += 4 + size
+    begin, place = max(((b, p) for b, p in ends if b <= at), default=(0, 0))
+    return names, place, at - begin, data[at:]
+
+
+def _is_record(data: bytes, at: int, n_ref: int) -> int | None:
+    """Length of the record at this place if it can be one; None otherwise, 0 if there are too few bytes to tell."""
+    if at + 36 > len(data):
+        return 0
+    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, nref, npos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (32 <= size < 1 << 28 and -1 <= ref < n_ref and -1 <= nref < n_ref and pos >= -1 and npos >= -1 and l_name >= 2 and l_seq >= 0):
+        return None
+    if 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size:
+        return None
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    ops = data[at + 36 + l_name : at + 36 + l_name + 4 * n_cigar]
+    if len(ops) == 4 * n_cigar and any(x & 15 > 8 for x in ops[::4]):
+        return None
+    return 4 + size
+
+
+def _first_record(data: bytes, at: int, n_ref: int, chain: int = 5) -> int | None:
+    """Whether records follow one upon another from this place: -1 if not, None if there are too few bytes to tell."""
+    for _ in range(chain):
+        n = _is_record(data, at, n_ref)
+        if n is None:
+            return -1
+        if n == 0:
+            return None
+        at += n
+    return 0
+
+
+def _bam_record(data: bytes, at: int, names: list[str]) -> tuple:
+    size, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, nref, npos, tlen = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    p = at + 36
+    name = data[p : p + l_name - 1].decode()
+    p += l_name
+    ops = struct.unpack_from(f"<{n_cigar}I", data, p)
+    p += 4 * n_cigar
+    packed = data[p : p + (l_seq + 1) // 2]
+    p += (l_seq + 1) // 2
+    seq = "".join(_TWO[x] for x in packed)[:l_seq]
+    qual = "".join(chr(33 + min(q, 222)) for q in data[p : p + l_seq])
+    aux = data[p + l_seq : at + 4 + size]
+    return (name, flag, names[ref] if ref >= 0 else None, pos + 1, mapq, "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*", names[nref] if nref >= 0 else None, npos + 1, tlen, seq, qual, _tag(aux, b"RG"))
+
+
+def _span_records(path: str, kind: str, size: int, lo: int, hi: int) -> Iterator[tuple]:
+    """The records that begin in the portions of a file between two offsets: (place in the file, fields...)."""
+    with open_file(path) as f:
+        portions = stream(f, kind, 0, size)
+        names, begin, within, data = _bam_header(portions)
+        if hi <= begin and kind == "blocks":
+            return
+        marks = [(0, begin, within)]  # content from each place on lies in the portion at this offset, from this place in it on
+        whole = kind != "blocks"
+        at = 0
+        if not whole and lo > begin:
+            begin = first_block(f, lo, size)
+            if begin >= hi:
+                return
+            portions, data, marks, at = stream(f, kind, begin, size), b"", [], None
+
+        def more() -> bool:
+            nonlocal data
+            got = next(portions, None)
+            if got is None:
+                return False
+            marks.append((len(data), got[0], 0))
+            data += got[1]
+            return True
+
+        if at is None:  # where does a record begin?
+            at, ended = 0, False
+            while True:
+                sure = _first_record(data, at, len(names)) if at < len(data) else None
+                if sure == 0 or (sure is None and ended):
+                    break
+                if sure is None:
+                    ended = not more()
+                else:
+                    at += 1
+            if at >= len(data):
+                return
+        k = 0
+        while True:
+            while at + 4 > len(data) or at + 4 + struct.unpack_from("<i", data, at)[0] > len(data):
+                if not more():
+                    return
+            while k + 1 < len(marks) and marks[k + 1][0] <= at:
+                k += 1
+            place, offset, inside = marks[k]
+            if not whole and offset >= hi:
+                return
+            yield (offset << 16 | (at - place + inside) if not whole else offset + at - place + inside, *_bam_record(data, at, names))
+            at += 4 + struct.unpack_from("<i", data, at)[0]
+            if at > 1 << 22:  # let go of what is done
+                data, marks = data[at:], [(m - at, o, i) for m, o, i in marks[k:]]
+                at, k = 0, 0
 
 
 def _tag(aux: bytes, wanted: bytes) -> str | None:
@@ -99,17 +199,24 @@ def _tag(aux: bytes, wanted: bytes) -> str | None:
     return None
 
 
-def bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Alignment records of BAM files, one task a file: ``file, ord, qname, flag, chr, pos`` (1-based) ``, mapq, cigar, rnext, pnext, tlen, seq, qual, rg``."""
+def bam(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:
+    """Alignment records of BAM files: ``file, ord, qname, flag, chr, pos`` (1-based) ``, mapq, cigar, rnext, pnext, tlen, seq, qual, rg``.
+
+    Block-compressed files are read in spans of ``split`` bytes: a task takes the blocks that begin in its span, looks for the first place from which
+    records follow one upon another, and reads on to the end of the last record that begins in its blocks.  ``ord`` rises along the file (the offset of the
+    block and the place in it).
+    """
     names = ["file", "ord", "qname", "flag", "chr", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "rg"]
     types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-                rows = []
-                for r in _bam_records(_gunzip(content)):
-                    rows.append((path, *r))
+            for span in zip(*(b[c].to_pylist() for c in ("path", "kind", "size", "lo", "hi"))):
+                rows: list[tuple] = []
+                if span[1] == "raw" and span[3]:
+                    continue  # an uncompressed file is read as one stream
+                for r in _span_records(*span):
+                    rows.append((span[0], *r))
                     if len(rows) == 8192:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows = []
@@ -117,7 +224,7 @@ def bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     schema = "file string, ord bigint, qname string, flag int, chr string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, rg string"
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, schema)
+    return spans(spark, path, split).mapInArrow(run, schema)
 
 
 def bgen(spark: SparkSession, path: str) -> DataFrame:
@@ -180,15 +287,24 @@ def bgen(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "chr string, pos int, allele1 string, allele2 string, probs array<array<double>>")
 
 
-def icounts(spark: SparkSession, path: str, min_depth: int = 0, max_depth: int = 2**31 - 1) -> DataFrame:
-    """Records of a position and four counts (32-bit): ``pos, n_a, n_c, n_g, n_t`` within the depth limits."""
+def icounts(spark: SparkSession, path: str, min_depth: int = 0, max_depth: int = 2**31 - 1, split: int = SPLIT) -> DataFrame:
+    """Records of a position and four counts (32-bit): ``pos, n_a, n_c, n_g, n_t`` within the depth limits; read in spans."""
+
+    def decode(data: bytes, first: int) -> pa.RecordBatch:
+        a = np.frombuffer(data, "<i4").reshape(-1, 5)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, i])) for i in range(5)], ["pos", "n_a", "n_c", "n_g", "n_t"])
+
+    t = fixed_records(spark, path, 20, decode, "pos int, n_a int, n_c int, n_g int, n_t int", split)
+    return t.where((F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")).between(min_depth, max_depth))
+
+
+def icounts_rows(counts: DataFrame) -> DataFrame:
+    """``chr, pos, value``: the bytes of each position's record (positions from 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b["content"].to_pylist():
-                data = _gunzip(data) if data[:2] == b"\x1f\x8b" else data
-                a = np.frombuffer(data[: len(data) // 20 * 20], "<i4").reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, i])) for i in range(5)], ["pos", "n_a", "n_c", "n_g", "n_t"])
+            x = np.stack([np.asarray(b["pos"]) + 1, *(np.asarray(b[c]) for c in ("n_a", "n_c", "n_g", "n_t"))], axis=1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], pa.array([r.tobytes() for r in x], pa.binary())], ["chr", "pos", "value"])
 
-    t = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos int, n_a int, n_c int, n_g int, n_t int")
-    return t.where((F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")).between(min_depth, max_depth))
+    t = dict(counts.dtypes)
+    return counts.select("chr", "pos", "n_a", "n_c", "n_g", "n_t").mapInArrow(run, f"chr {t['chr']}, pos {t['pos']}, value binary")
