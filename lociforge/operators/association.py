@@ -50,38 +50,114 @@ def _coded(post: DataFrame, model: str) -> DataFrame:
     return post.withColumns({"e": e, "e2": e2})
 
 
-def score_test(post: DataFrame, pheno: DataFrame, binary: bool = False, model: str = "add", min_high: int = 0, min_count: float = 0) -> DataFrame:
-    """``chr, pos, n, freq, lrt``: score test without covariates, from sums in one aggregation; null where a gate fails.
+def _gated(g: DataFrame, min_high: int, min_count: float, info: bool = False) -> DataFrame:
+    """``chr, pos, n, freq, lrt`` from the sums ``copies, high0, high1, high2``; null where a gate fails."""
+    n = F.col("n")
+    kinds = sum((F.col(f"high{k}") >= min_high).cast("int") for k in range(3))
+    ok = (kinds >= 2) & (F.least("copies", 2 * n - F.col("copies")) >= min_count)
+    return g.select(*SITE, "n", (F.col("copies") / (2 * n)).alias("freq"), F.when(ok, F.col("lrt")).alias("lrt"), *(["info"] if info else []))
+
+
+def score_test(post: DataFrame, pheno: DataFrame, kind: str = "normal", model: str = "add", covariates: tuple[str, ...] = (), min_high: int = 0, min_count: float = 0, dispersion: bool = True, info: bool = False) -> DataFrame:
+    """``chr, pos, n, freq, lrt`` (with ``info`` also the information): score test of no effect of the unobserved genotype on a phenotype; null where a gate fails.
+
+    ``kind`` is normal, binary or poisson.  Under the null model the phenotype depends on the covariates (and a constant) alone.  With its residuals r,
+    variance function v and dispersion phi, and expected genotype e and square e2, the score is sum(e r) / phi; its information is that of
+    the genotype, sum((v / phi - r^2 / phi^2) e2 + r^2 / phi^2 e^2), less what covariates explain of it.  For normal phenotypes the published test also
+    takes off a term for the estimated dispersion, in which y^2 + 2 y m stands where a squared residual would be expected;
+    it is kept so that values agree, and left out with ``dispersion=False``.
 
-    ``min_high`` asks for so many confident (0.9) genotypes of at least two kinds, ``min_count`` for so many expected copies of either allele.
+    Without covariates everything follows from sums in one aggregation; with covariates, many positions are solved at once.  ``min_high`` asks for so many
+    confident (0.9) genotypes of at least two kinds, ``min_count`` for so many expected copies of either allele.
     """
+    if covariates or kind == "poisson":
+        return _score_kernel(post, pheno, kind, model, covariates, min_high, min_count, dispersion)
     x = _coded(post, model).join(pheno.where("y is not null").select("sample", F.col("y").cast("double").alias("y")), "sample")
     y, e, e2 = F.col("y"), F.col("e"), F.col("e2")
-    g = x.groupBy(*SITE).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(e).alias("se"), F.sum(e2).alias("se2"), F.sum(e * e).alias("see"), F.sum(y * e).alias("sye"),
-        F.sum(y * e2).alias("sye2"), F.sum(y * y * e2).alias("syye2"), F.sum(y * e * e).alias("syee"), F.sum(y * y * e * e).alias("syyee"), F.sum(F.col("p1") + 2 * F.col("p2")).alias("copies"),
-        *(F.count_if(F.col(f"p{k}") > 0.9).alias(f"high{k}") for k in range(3)),
-    )
-    n = F.col("n")
-    m = F.col("sy") / n
-    u = F.col("sye") - m * F.col("se")
-    # sums of (y - m)^2 e2 and (y - m)^2 e^2
-    r2 = F.col("syye2") - 2 * m * F.col("sye2") + m * m * F.col("se2")
-    rr = F.col("syyee") - 2 * m * F.col("syee") + m * m * F.col("see")
-    if binary:
-        v = m * (1 - m)
-        info = v * F.col("se2") + (rr - r2) - (v * F.col("se")) ** 2 / (n * v)
-        lrt = u * u / F.nullif(info, F.lit(0.0))
-    else:
-        v = (F.col("syy") - n * m * m) / (n - 1)
-        vbb = F.col("se2") / v + (rr - r2) / (v * v)
-        info = vbb - (F.col("se") / v) ** 2 / (n / v)
-        vss = (F.col("syy") + 2 * m * F.col("sy")) / (v * v * v) - n / (4 * math.pi * v * v)
-        info = info - (u / (v * v)) ** 2 / vss
-        lrt = (u / v) ** 2 / F.nullif(info, F.lit(0.0))
-    kinds = sum((F.col(f"high{k}") >= min_high).cast("int") for k in range(3))
-    ok = (kinds >= 2) & (F.least("copies", 2 * n - F.col("copies")) >= min_count)
-    return g.where("n > 1 and syy - sy * sy / n > 1e-12").select(*SITE, "n", (F.col("copies") / (2 * n)).alias("freq"), F.when(ok, lrt).alias("lrt"))
+    sums = {"sy": y, "syy": y * y, "se": e, "se2": e2, "see": e * e, "sye": y * e, "sye2": y * e2, "syye2": y * y * e2, "syee": y * e * e, "syyee": y * y * e * e, "copies": F.col("p1") + 2 * F.col("p2")}
+    g = x.groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(k) for k, v in sums.items()), *(F.count_if(F.col(f"p{k}") > 0.9).alias(f"high{k}") for k in range(3)))
+    g = g.where("n > 1 and syy - sy * sy / n > 1e-12")
+    n, (sy, syy, se, se2, see, sye, sye2, syye2, syee, syyee) = F.col("n"), (F.col(k) for k in list(sums)[:-1])
+    mean = sy / n
+    score = sye - mean * se
+    # sums of r^2 e^2 and r^2 e2 for residuals r = y - mean
+    extra = syyee - 2 * mean * syee + mean * mean * see - (syye2 - 2 * mean * sye2 + mean * mean * se2)
+    phi = F.lit(1.0) if kind == "binary" else (syy - n * mean * mean) / (n - 1)
+    v = mean * (1 - mean) if kind == "binary" else F.lit(1.0)
+    own = v * se2 / phi + extra / (phi * phi) - v * se * se / (n * phi)
+    if dispersion and kind == "normal":
+        own = own - (score / (phi * phi)) ** 2 / _dispersion(syy + 2 * mean * sy, n, phi)
+    return _gated(g.withColumns({"lrt": (score / phi) ** 2 / F.nullif(own, F.lit(0.0)), "info": own}), min_high, min_count, info)
+
+
+def _dispersion(total, n, phi):
+    """Published information of the dispersion (numbers or columns): total is the sum of y^2 + 2 y m."""
+    return total / (phi * phi * phi) - n / (4 * math.pi * phi * phi)
+
+
+def _null_model(z: np.ndarray, y: np.ndarray, there: np.ndarray, kind: str, rounds: int = 30) -> np.ndarray:
+    """Fitted means (positions x samples) of regressions on the covariates z (samples x q), over the samples that each position has."""
+    w = there.astype(float)
+    eta = np.zeros(w.shape)
+    for _ in range(1 if kind == "normal" else rounds):
+        mu = y * np.ones_like(w) if kind == "normal" else 1 / (1 + np.exp(-eta)) if kind == "binary" else np.exp(eta)
+        v = np.ones_like(w) if kind == "normal" else np.maximum(mu * (1 - mu) if kind == "binary" else mu, 1e-10)
+        target = y if kind == "normal" else eta + (y - mu) / v
+        a = np.einsum("bn,ni,nj->bij", w * v, z, z)
+        b = np.linalg.pinv(a) @ np.einsum("bn,ni->bi", w * v * target, z)[:, :, None]
+        new = np.clip((z @ b)[:, :, 0] if b.ndim == 3 else z @ b, -30, 30) if kind != "normal" else (z @ b)[:, :, 0]
+        done = np.abs(new - eta).max(initial=0) < 1e-10
+        eta = new
+        if done:
+            break
+    return eta if kind == "normal" else 1 / (1 + np.exp(-eta)) if kind == "binary" else np.exp(eta)
+
+
+def _score_kernel(post: DataFrame, pheno: DataFrame, kind: str, model: str, covariates: tuple[str, ...], min_high: int, min_count: float, dispersion: bool) -> DataFrame:
+    """The score test with covariates: a position's samples in one row, a batch of positions as one array problem.
+
+    The phenotype table (a few numbers a sample) goes to every task.
+    """
+    wanted = ["y", *covariates]
+    people = pheno.select("sample", *(F.col(c).cast("double").alias(c) for c in wanted)).na.drop().dropDuplicates(["sample"]).orderBy("sample").collect()
+    place = {r["sample"]: i for i, r in enumerate(people)}
+    y = np.array([r["y"] for r in people])
+    z = np.array([[1.0, *(r[c] for c in covariates)] for r in people]).reshape(len(people), -1)
+    x = _coded(post, model).join(F.broadcast(pheno.sparkSession.createDataFrame([(s, i) for s, i in place.items()], f"sample {dict(post.dtypes)['sample']}, __k int")), "sample")
+    cells = F.collect_list(F.struct("__k", "e", "e2"))
+    g = x.groupBy(*SITE).agg(cells.alias("r"), F.count(F.lit(1)).cast("int").alias("n"), F.sum(F.col("p1") + 2 * F.col("p2")).alias("copies"), *(F.count_if(F.col(f"p{k}") > 0.9).alias(f"high{k}") for k in range(3)))
+    g = g.select(*SITE, "n", "copies", "high0", "high1", "high2", F.col("r.__k").alias("k"), F.col("r.e").alias("e"), F.col("r.e2").alias("e2"))
+    kept = [*SITE, "n", "copies", "high0", "high1", "high2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, max(1, 2_000_000 // max(len(y), 1))):
+                part = b.slice(lo, max(1, 2_000_000 // max(len(y), 1)))
+                m = part.num_rows
+                row = np.repeat(np.arange(m), np.asarray(pc.list_value_length(part["k"])))
+                at = np.asarray(part["k"].flatten())
+                e, e2, there = np.zeros((m, len(y))), np.zeros((m, len(y))), np.zeros((m, len(y)), bool)
+                e[row, at], e2[row, at], there[row, at] = np.asarray(part["e"].flatten()), np.asarray(part["e2"].flatten()), True
+                mu = _null_model(z, y, there, kind)
+                r = np.where(there, y - mu, 0.0)
+                n = there.sum(axis=1)
+                phi = (r * r).sum(axis=1) / np.maximum(n - z.shape[1], 1) if kind == "normal" else np.ones(m)
+                v = there * (1.0 if kind == "normal" else mu * (1 - mu) if kind == "binary" else mu)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (e * r).sum(axis=1) / phi
+                    own = ((v / phi[:, None] - r * r / phi[:, None] ** 2) * e2 + r * r / phi[:, None] ** 2 * e * e).sum(axis=1)
+                    ab = np.einsum("bn,bn,ni->bi", v, e, z) / phi[:, None]
+                    aa = np.einsum("bn,ni,nj->bij", v, z, z) / phi[:, None, None]
+                    info = own - np.einsum("bi,bij,bj->b", ab, np.linalg.pinv(np.nan_to_num(aa)), ab)
+                    if dispersion and kind == "normal":
+                        info = info - (score / phi) ** 2 / _dispersion((there * (y * y + 2 * y * mu)).sum(axis=1), n, phi)
+                    lrt = score**2 / info
+                ok = np.isfinite(lrt) & (phi > 1e-12) & (n > z.shape[1])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(lrt, pa.float64(), mask=~ok)], [*kept, "lrt"])
+
+    t = dict(g.dtypes)
+    made = g.mapInArrow(run, ", ".join(f"{c} {t[c]}" for c in kept) + ", lrt double")
+    return _gated(made, min_high, min_count)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -161,6 +237,18 @@ def latent_em(post: np.ndarray, y: np.ndarray, z: np.ndarray, kind: str, codes:
     return 2 * (lik - lik0), float(b[0]), it
 
 
+def _regress_sums(post: DataFrame, pheno: DataFrame, method: str, model: str) -> DataFrame:
+    """``regress`` of a normal phenotype without covariates: everything follows from five sums."""
+    x = _coded(post, model).join(pheno.where("y is not null").select("sample", F.col("y").cast("double").alias("y")), "sample")
+    g = x.groupBy(*SITE).agg(F.count(F.lit(1)).cast("int").alias("n"), F.regr_sxx("y", "e").alias("sxx"), F.regr_syy("y", "e").alias("__yy"), F.regr_sxy("y", "e").alias("__xy"), (F.max("e") - F.min("e")).alias("__range"))
+    n, beta = F.col("n"), F.col("__xy") / F.nullif(F.col("sxx"), F.lit(0.0))
+    var = F.greatest((F.col("__yy") - beta * F.col("__xy")) / F.greatest(n - 2, F.lit(1)), F.lit(1e-12))
+    se = F.sqrt(var / F.nullif(F.col("sxx"), F.lit(0.0)))
+    ok = (n > 2) & (F.col("__yy") > 1e-12) & (F.col("__range") >= 1e-12)
+    lrt = (beta / F.nullif(se, F.lit(0.0))) ** 2 if method == "wald" else n * F.log(F.col("__yy") / (n - 1) / var) + 1
+    return g.select(*SITE, "n", F.when(ok, lrt).alias("lrt"), F.when(ok, beta).alias("beta"), F.when(ok, se).alias("se"), "sxx")
+
+
 def regress(post: DataFrame, pheno: DataFrame, method: str = "dosage", kind: str = "normal", model: str = "add", covariates: tuple[str, ...] = (), hybrid_p: float = 0.05) -> DataFrame:
     """``chr, pos, n, lrt, beta, se, sxx``: regression of the phenotype on genotypes with covariates, one small problem for each position.
 
@@ -169,6 +257,8 @@ def regress(post: DataFrame, pheno: DataFrame, method: str = "dosage", kind: str
     ``dosage`` uses expected genotypes, ``latent`` an EM over the genotypes, ``hybrid`` the latent model only where the dosage test is
     below ``hybrid_p``, ``wald`` reports (beta / se)^2 of the dosage model.  ``kind``: normal, logistic or poisson.
     """
+    if not covariates and kind == "normal" and method in ("dosage", "wald"):
+        return _regress_sums(post, pheno, method, model)
     codes = {"add": np.array([0.0, 1, 2]), "dom": np.array([0.0, 1, 1]), "rec": np.array([0.0, 0, 1])}[model]
     wanted = [F.col(c).cast("double") for c in ("y", *covariates)]
     people = pheno.select("sample", F.array(*wanted).alias("x")).where(~F.exists("x", lambda v: v.isNull()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Width of the coordinate tiles that split a hot key.  After the map-side merge a tile holds at most half as many disjoint
@@ -28,6 +28,11 @@ def clean_regions(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     )
 
 
+def merging_locally(spark: SparkSession) -> None:
+    """Lets the session merge interval sessions before the shuffle as well: for applications whose data are all merged this way."""
+    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+
+
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str, stop: str, tile: int = TILE) -> DataFrame:
     """Maximal covered periods of each key, and the gaps between consecutive ones: ``keys..., kind, start, stop``.
 
@@ -36,13 +41,11 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, stop: str, tile
     input gives an empty result; columns other than keys, start and stop are ignored.
 
     Each interval is a session that starts at ``start`` and lasts ``stop - start``: ``session_window`` with this
-    row-specific gap merges what overlaps.  Sessions are merged per (key, tile of the start), before the shuffle too, so a
+    row-specific gap merges what overlaps.  Sessions are merged per (key, tile of the start), so a
     key that owns a third of all rows is spread over its tiles.  A summary of one row per tile carries the reach of
     earlier tiles and the next tile's first start; with it, touching or tile-crossing sessions are stitched, and ``lead``
-    gives the gaps.
+    gives the gaps.  Sessions are merged before the shuffle, too, if the session's option for that is on (``merging_locally``).
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     s, e = F.col("__s"), F.col("__e")
     rows = df.select(*keys, F.col(start).cast("bigint").alias("__s"), F.col(stop).cast("bigint").alias("__e")).where("__e > __s")
     rows = rows.withColumn("__tile", F.floor(s / F.lit(tile)))

@@ -315,9 +315,23 @@ def _pheno(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, float((s * 7) % 5), float(s % 2), float(s % 3)) for s in SAMPLES], "sample bigint, y double, sex double, cov1 double")
 
 
-@query()
+_SCORE = _POST + """, ph as (select l_suppkey % 10 as sample, any_value(((l_suppkey % 10) * 7 % 5)::double) as y from lineitem group by 1), x as (select chr, pos, p1 + 2 * p2 as e, p1 + 4 * p2 as q, y, avg(y) over (partition by chr, pos) as m from post join ph using (sample)),
+s as (select chr, pos, count(*) as n, sum(e) as se, sum(q) as sq, sum(e * (y - m)) as u, sum((y - m) * (y - m) * (e * e - q)) as r, sum((y - m) * (y - m)) / (count(*) - 1) as v, sum(y * y + 2 * y * m) as t from x group by all having count(*) > 1 and max(y) > min(y)),
+i as (select chr, pos, n, se / (2 * n) as freq, u, v, sq / v + r / (v * v) - se * se / (n * v) - (u / (v * v)) * (u / (v * v)) / (t / (v * v * v) - n / (4 * pi() * v * v)) as i from s)
+select chr, pos, n, round(freq, 3) + 0 as freq, case when abs(i) > 0.05 and freq between 0.02 and 0.98 then round((u / v) * (u / v) / i, 2) + 0 end as lrt from i"""
+
+
+@query(_SCORE)
 def association_score(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.score_test(_post(spark, d), _pheno(spark)), "freq", "lrt", digits=3)
+    """All positions; the statistic of those that vary too little hangs on the last digits and stays null."""
+    t = A.score_test(_post(spark, d), _pheno(spark), info=True)
+    t = t.withColumn("lrt", F.when((F.abs("info") > 0.05) & F.col("freq").between(0.02, 0.98), F.round("lrt", 2) + F.lit(0.0)))
+    return rounded(t.select("chr", "pos", "n", "freq", "lrt"), "freq", digits=3)
+
+
+@query()
+def association_score_covariates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.score_test(_post(spark, d), _pheno(spark), covariates=("cov1",)), "freq", "lrt", digits=3)
 
 
 @query(_POST + """, ph as (select l_suppkey % 10 as sample, any_value(((l_suppkey % 10) * 7 % 5)::double) as y from lineitem group by 1), x as (select chr, pos, p1 + 2 * p2 as e, y from post join ph using (sample)),

@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.operators import association as A
 from lociforge.operators import counting as C
+from lociforge.operators import errors as X
 from lociforge.operators import estimators as E
 from lociforge.operators import likelihood as L
 from lociforge.operators import models as M
 from lociforge.operators import pairs as P
+from lociforge.operators import quality as Q
+from lociforge.operators import spectrum as S
+from lociforge.sources.sinks import write_tsv
+from lociforge.sources.tables import SINKS
 
 #: name -> (what it needs, what it gives, function of the pipeline's tables and options)
 OPERATORS: dict[str, tuple[tuple[str, ...], str, Callable]] = {}
@@ -42,6 +48,37 @@ register_operator("genotypes", ("post",), "geno", L.call_genotypes)
 register_operator("saf", ("l3",), "saf", lambda l3, n, **o: E.allele_frequency_likelihoods(L.collected(l3), n, **o))
 register_operator("haplo", ("reads",), "haplo", C.sampled_base)
 register_operator("ibs", ("haplo",), "ibs", P.ibs_matrix)
+register_operator("hwe_filter", ("hwe",), "hwe", E.hwe_filter)
+register_operator("gate", ("geno", "counts", "alleles"), "geno", L.gate_genotypes)
+register_operator("site_filter", ("counts",), "kept", C.site_filter)
+register_operator("keep", ("reads", "kept"), "reads", C.keep_sites)
+register_operator("regions", ("reads", "regions"), "reads", C.in_regions)
+register_operator("effective_depth", ("reads",), "effective_depth", C.effective_depth)
+register_operator("quality_histogram", ("reads",), "quality_histogram", C.quality_histogram)
+register_operator("depth_histogram", ("reads",), "depth_histogram", C.depth_histogram)
+register_operator("strand_counts", ("reads",), "strand_counts", C.strand_counts)
+register_operator("mismatch", ("reads",), "mismatch", C.mismatch_matrix)
+register_operator("ancestral_errors", ("reads",), "ancestral_errors", C.ancestral_errors)
+register_operator("error_rates", ("ancestral_errors",), "error_rates", lambda counts: X.ancestral_error_rates(counts.where("chr is null")))
+register_operator("quality_profile", ("reads",), "quality_profile", C.quality_profile)
+register_operator("statistics", ("reads", "alleles"), "statistics", Q.site_statistics)
+register_operator("statistic_filter", ("statistics",), "statistics", Q.statistic_filter)
+register_operator("allele_models", ("gl", "alleles"), "models", lambda gl, alleles: M.allele_models(M.collected_gl(gl, alleles)))
+register_operator("drop_triallelic", ("models",), "models", M.drop_triallelic)
+register_operator("drop_transitions", ("freq",), "freq", L.drop_transitions)
+register_operator("heteroplasmy", ("reads",), "heteroplasmy", M.heteroplasmy)
+register_operator("psmc", ("gl",), "psmc", L.psmc_likelihoods)
+register_operator("score_test", ("post", "pheno"), "lrt", A.score_test)
+register_operator("regress", ("post", "pheno"), "lrt", A.regress)
+register_operator("case_control", ("l3", "pheno"), "lrt", A.case_control)
+register_operator("covariance", ("haplo", "alleles"), "covariance", P.sampled_covariance)
+register_operator("posterior_covariance", ("post",), "covariance", P.posterior_covariance)
+register_operator("abba_baba", ("haplo", "outgroup"), "abba_baba", P.abba_baba)
+register_operator("population_frequencies", ("counts", "populations"), "pop_freq", P.population_frequencies)
+register_operator("patterns", ("pop_freq",), "patterns", X.pattern_table)
+register_operator("thetas", ("saf",), "thetas", lambda saf, sfs, n, **o: S.site_thetas(S.site_posterior(saf, sfs), n, **o))
+register_operator("theta_windows", ("thetas",), "theta_windows", S.window_thetas)
+register_operator("consensus", ("haplo", "contigs"), "consensus", C.consensus_lines)
 
 
 class Pipeline:
@@ -63,5 +100,11 @@ class Pipeline:
         self.log.append((name, options))
         return self
 
+    def write(self, table: str, sink: str, path: str | None, *keys: str, **options) -> Pipeline:
+        """Writes a table as the text of ``sink``; without a path nothing is written, for steps that only serve as filters."""
+        if path is not None:
+            write_tsv(SINKS[sink](self.tables[table], **options), path, *keys)
+        return self
+
     def __getitem__(self, table: str) -> DataFrame:
         return self.tables[table]

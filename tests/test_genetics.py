@@ -197,9 +197,9 @@ def test_score_test_matches_regression_for_hard_genotypes(spark):
     post = spark.createDataFrame([(1, 5, i, *map(float, np.eye(3)[x])) for i, x in enumerate(g)], "chr int, pos int, sample int, p0 double, p1 double, p2 double")
     pheno = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)] + [(99, None)], "sample int, y double")
     n, r = 60, np.corrcoef(g, y)[0, 1]
-    got = A.score_test(post, pheno, binary=True).first()
+    got = A.score_test(post, pheno, "binary").first()
     assert got["lrt"] == pytest.approx(n * r * r, rel=1e-6) and got["freq"] == pytest.approx(g.mean() / 2)
-    assert A.score_test(post, pheno, binary=True, min_count=1000).first()["lrt"] is None
+    assert A.score_test(post, pheno, "binary", min_count=1000).first()["lrt"] is None
     dosage = A.regress(post, pheno).first()
     assert dosage["beta"] == pytest.approx(np.polyfit(g, y, 1)[0])
 
@@ -231,7 +231,7 @@ def test_admixture_separates_two_sources(spark):
     assert np.allclose(q.sum(axis=1), 1) and abs(q[:5, 0].mean() - q[5:, 0].mean()) > 0.9 and freqs.count() == 300
 
 
-def test_pipeline_checks_what_it_needs(spark):
+def test_pipeline_checks_what_it_needs(spark, tmp_path):
     rows = [(0, p, s, (p + s // 2) % 4, 30, 40, 5, 20, False, p % 4, p % 4, k) for p in range(3) for s in range(4) for k in range(8)]
     reads = spark.createDataFrame(rows, "chr int, pos int, sample int, base int, qs int, mapq int, posi int, isop int, is_rev boolean, ref int, anc int, ord int")
     with pytest.raises(ValueError, match="gl_gatk"):
@@ -240,6 +240,10 @@ def test_pipeline_checks_what_it_needs(spark):
     assert p["freq"].count() == 3 and {r["geno"] for r in p["geno"].collect()} == {0, 2}
     register_operator("twice", ("freq",), "double_freq", lambda freq: freq.selectExpr("chr", "pos", "2 * freq as freq2"))
     assert p.run("twice")["double_freq"].count() == 3
+    p.run("counts").run("gate", min_depth=2, min_ind=1).run("hwe").run("hwe_filter", min_p=1e-6).run("psmc").run("statistics").run("statistic_filter", max_z=9)
+    assert p["geno"].count() > 0 and p["psmc"].count() == 12 and p["statistics"].count() == 3
+    p.write("freq", "mafs", None).write("freq", "mafs", str(tmp_path / "x.mafs"), "chromo", "position")
+    assert spark.read.csv(str(tmp_path / "x.mafs"), sep="\t", header=True).count() == 3
     assert C.allele_counts(reads.limit(0)).count() == 0 and L.best_pair(L.pair_scores(L.gl_gatk(reads.limit(0)))).count() == 0
 
 
@@ -361,3 +365,46 @@ def test_alleles_are_oriented_by_expected_frequency(spark):
             assert r["lrt"] < 1e-6 and r["major"] == seen[0]
     pairs = {(r["pos"], r["major"], r["minor"]) for r in L.best_pair(L.pair_scores(gl)).collect()}
     assert pairs == {(r["pos"], r["major"], r["minor"]) for r in f}
+
+
+def test_published_association_statistics(spark):
+    # fixed values: genotypes and phenotypes of 48 samples, and the published statistics
+    geno, pheno = "001222222222222222222222222222222222222222222210", "111110001010111010100101010000000010000100000000"
+    post = spark.createDataFrame([("1", 999_999, i, *map(float, np.eye(3)[int(x)])) for i, x in enumerate(geno)], "chr string, pos int, sample int, p0 double, p1 double, p2 double")
+    y = spark.createDataFrame([(i, float(v)) for i, v in enumerate(pheno)], "sample int, y double")
+    lrt = lambda t: t.first()["lrt"]
+    assert lrt(A.score_test(post, y)) == pytest.approx(1.607704, abs=1e-6) and lrt(A.score_test(post, y, "binary")) == pytest.approx(1.620294, abs=1e-6)
+    assert lrt(A.score_test(post, y, dispersion=False)) == pytest.approx(1.586538, abs=1e-5)
+    assert lrt(A.regress(post, y)) == pytest.approx(1.615975, abs=5e-4) and lrt(A.regress(post, y, "latent")) == pytest.approx(1.606574, abs=0.02)
+    assert lrt(A.regress(post, y, "latent", "logistic")) == pytest.approx(1.540588, abs=1e-4) and lrt(A.regress(post, y, "dosage", "logistic")) == pytest.approx(1.540588, abs=1e-4)
+    # the kernel gives the same without covariates, and covariates of no effect change little
+    more = y.withColumn("one", (y["sample"] * 0.0 + 1.0))
+    for kind in ("normal", "binary"):
+        assert lrt(A.score_test(post, more, kind, covariates=("one",))) == pytest.approx(lrt(A.score_test(post, y, kind)), abs=0.04)
+
+
+def test_score_test_with_covariates(spark):
+    rng = np.random.default_rng(8)
+    n = 120
+    g, c = rng.integers(0, 3, (4, n)), rng.standard_normal(n)
+    rows = [(1, p, i, *map(float, np.eye(3)[g[p, i]])) for p in range(4) for i in range(n) if p or i % 5]
+    post = spark.createDataFrame(rows, "chr int, pos int, sample int, p0 double, p1 double, p2 double")
+    for kind in ("normal", "binary", "poisson"):
+        eta = 0.5 * c + 0.2 * g[1]
+        y = eta + rng.standard_normal(n) if kind == "normal" else (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(float) if kind == "binary" else rng.poisson(np.exp(eta)).astype(float)
+        people = spark.createDataFrame([(i, float(y[i]), float(c[i])) for i in range(n)] + [(999, None, 1.0)], "sample int, y double, c double")
+        got = {r["pos"]: r for r in A.score_test(post, people, kind, covariates=("c",), dispersion=False).collect()}
+        for p in range(4):
+            own = np.array([i for i in range(n) if p or i % 5])
+            z, e, t = np.column_stack([np.ones(len(own)), c[own]]), g[p, own].astype(float), y[own]
+            if kind == "normal":
+                mu = z @ np.linalg.lstsq(z, t, rcond=None)[0]
+                phi, v = ((t - mu) ** 2).sum() / (len(own) - 2), np.ones(len(own))
+            else:
+                b, _, _ = A.fit_glm(z, t, "logistic" if kind == "binary" else "poisson")
+                mu = 1 / (1 + np.exp(-z @ b)) if kind == "binary" else np.exp(z @ b)
+                phi, v = 1.0, mu * (1 - mu) if kind == "binary" else mu
+            # hard genotypes: the information is that of weighted least squares
+            left = e - z @ np.linalg.lstsq(z * np.sqrt(v)[:, None], e * np.sqrt(v), rcond=None)[0]
+            want = (e @ (t - mu) / phi) ** 2 / ((v * left * left).sum() / phi)
+            assert got[p]["lrt"] == pytest.approx(want, rel=1e-5) and got[p]["n"] == len(own)
