@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.operators.estimators import Ragged, chi2_tail, em_frequency, hwe_prior, log_likelihood
+from lociforge.operators.estimators import ROUNDS, TOLERANCE, Ragged, chi2_tail, em_frequency, hwe_prior, log_likelihood
 
 SITE = ["chr", "pos"]
 
 
-def case_control(l3: DataFrame, pheno: DataFrame) -> DataFrame:
+def case_control(l3: DataFrame, pheno: DataFrame, rounds: int = ROUNDS, tol: float = TOLERANCE) -> DataFrame:
     """``chr, pos, freq, freq_case, freq_control, lrt, p_value``: one frequency for all against one each for cases and controls."""
     rows = F.sort_array(F.collect_list(F.struct("y", "sample", "l0", "l1", "l2")))
     g = l3.join(pheno.where("y in (0, 1)").select("sample", F.col("y").cast("int").alias("y")), "sample").groupBy(*SITE).agg(rows.alias("r"))
@@ -34,7 +34,7 @@ def case_control(l3: DataFrame, pheno: DataFrame) -> DataFrame:
             r = Ragged(flat, sizes)
             control = np.arange(len(r.l)) - r.starts[r.site] < n0[r.site]
             parts = [r, Ragged(r.l[~control].ravel(), sizes - n0), Ragged(r.l[control].ravel(), n0)]
-            p = [em_frequency(x, 0.1) for x in parts]
+            p = [em_frequency(x, 0.1, rounds, tol) for x in parts]
             lik = [log_likelihood(x, hwe_prior(q)) for x, q in zip(parts, p)]
             lrt = np.maximum(2 * (lik[1] + lik[2] - lik[0]), 0)
             yield pa.RecordBatch.from_arrays([b["chr"], b["pos"], *map(pa.array, (*p, lrt, chi2_tail(lrt)))], ["chr", "pos", "freq", "freq_case", "freq_control", "lrt", "p_value"])

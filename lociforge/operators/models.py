@@ -188,9 +188,10 @@ def four_frequencies(r: Ragged, gls: np.ndarray, rounds: int = 100, tol: float =
     return f, r.sum(np.log(np.maximum((lik * prior(f)[r.site]).sum(axis=1), 1e-300)))
 
 
-def allele_models(sites: DataFrame) -> DataFrame:
-    """Adds to positions with ``gls``, major and minor: ``unknown_em``, the frequencies f0 ... f3 and ``tri_lrt`` of a third allele."""
-    names = [*SITE, "major", "minor", "n", "unknown_em", "f0", "f1", "f2", "f3", "tri_lrt", "tri_p"]
+def allele_models(sites: DataFrame, rounds: int = 100, tol: float = 1e-5) -> DataFrame:
+    """Adds to positions with ``gls``, major and minor: ``unknown_em``, the frequencies f0 ... f3 with their log
+    likelihood ``lik``, and ``tri_lrt`` and ``tri_p`` of a third allele."""
+    names = [*SITE, "major", "minor", "n", "unknown_em", "f0", "f1", "f2", "f3", "tri_lrt", "tri_p", "lik"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,10 +203,10 @@ def allele_models(sites: DataFrame) -> DataFrame:
             at = np.arange(len(gls))
             l3 = np.exp(np.stack([gls[at, lut[major, major][site]], gls[at, lut[major, minor][site]], gls[at, lut[minor, minor][site]]], axis=1))
             r = Ragged(l3.ravel(), sizes)
-            f, lik4 = four_frequencies(r, gls)
-            p = em_frequency(r)
+            f, lik4 = four_frequencies(r, gls, rounds, tol)
+            p = em_frequency(r, rounds=rounds, tol=tol)
             lrt = np.maximum(2 * (lik4 - log_likelihood(r, hwe_prior(p))), 0)
-            out = [unknown_minor(r, gls, major), *f.T, lrt, chi2_tail(lrt)]
+            out = [unknown_minor(r, gls, major, rounds=rounds, tol=tol), *f.T, lrt, chi2_tail(lrt), lik4]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names[:5]), *(pa.array(np.ascontiguousarray(x)) for x in out)], names)
 
     t = dict(sites.dtypes)

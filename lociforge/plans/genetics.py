@@ -350,8 +350,3 @@ def association_latent(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def association_hybrid_binary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.regress(_post(spark, d), _pheno(spark).drop("y").withColumnRenamed("sex", "y"), "hybrid", "logistic").drop("sxx"), "lrt", "beta", "se", digits=3)
-
-
-@query()
-def association_case_control(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.case_control(_l3(spark, d), _pheno(spark).drop("y").withColumnRenamed("sex", "y")), "freq", "freq_case", "freq_control", "lrt", "p_value", digits=3)

@@ -36,7 +36,29 @@ def _ten(g: DataFrame, digits: int = 4) -> DataFrame:
     return rounded(g.select("chr", "pos", "sample", *(F.element_at("gl", i + 1).alias(f"g{i}") for i in range(10))), *(f"g{i}" for i in range(10)), digits=digits)
 
 
-@query()
+_TEN = "[" + ", ".join(f"sum(ln((p[{a + 1}] + p[{b + 1}]) / 2))" for a, b in GENOTYPES) + "]"
+_TEN_OUT = "select chr, pos, sample, " + ", ".join(f"round(g[{i + 1}] - list_max(g), 4) + 0 as g{i}" for i in range(10)) + " from g0"
+
+
+def _tail(k: str) -> str:
+    """SQL of the chance of at least k errors among n bases of error rate e."""
+    return f"list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(e) + (n - i) * ln(1 - e))))"
+
+
+def _dependent(a: int, b: int) -> str:
+    """SQL of a genotype's log likelihood from the summed costs t and the counts c of the bases."""
+    cost = " + ".join(f"t[{k + 1}]" for k in range(4) if k not in (a, b))
+    if a != b:
+        m = f"c[{a + 1}] + c[{b + 1}]"
+        cost += f" - 10 / ln(10) * (lgamma({m} + 1) - lgamma(c[{a + 1}] + 1) - lgamma(c[{b + 1}] + 1) - ({m}) * ln(2))"
+    return f"-greatest({cost}, 0) * ln(10) / 10"
+
+
+@query(CTE + f""", x as (select chr, pos, sample, base, is_rev, ord, greatest(4, least(63, qs, mapq)) as q, count(*) over (partition by chr, pos, sample) as n from r where qs >= 13 and base between 0 and 3),
+y as (select *, pow(10, -q / 10.0) as e, row_number() over (partition by chr, pos, sample, base, is_rev order by q desc, ord) - 1 as again, row_number() over (partition by chr, pos, sample, base order by q desc, is_rev desc, ord) - 1 as k from x),
+z as (select chr, pos, sample, base, (pow(0.83, again) * 0.97 + 0.03) * -10 * log10({_tail("k + 1")} / {_tail("k")}) as cost from y),
+w as (select chr, pos, sample, [{", ".join(f"coalesce(sum(cost) filter (base = {b}), 0)" for b in range(4))}] as t, [{", ".join(f"count(*) filter (base = {b})" for b in range(4))}] as c from z group by all),
+g0 as (select chr, pos, sample, [{", ".join(_dependent(a, b) for a, b in GENOTYPES)}] as g from w) """ + _TEN_OUT)
 def gl_dependent_errors(spark: SparkSession, d: str) -> DataFrame:
     return _ten(M.gl_dependent(pileup(spark, d)))
 
@@ -47,10 +69,6 @@ def calibration_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.calibration(pileup(spark, d)), "p0", "p1", "p2", "p3", digits=6)
 
 
-_TEN = "[" + ", ".join(f"sum(ln((p[{a + 1}] + p[{b + 1}]) / 2))" for a, b in GENOTYPES) + "]"
-_TEN_OUT = "select chr, pos, sample, " + ", ".join(f"round(g[{i + 1}] - list_max(g), 4) + 0 as g{i}" for i in range(10)) + " from g0"
-
-
 @query(CTE + f""", x as (select *, case when is_rev then isop else posi end as cycle from r),
 c as (select qs, cycle, ref, [(count(*) filter (base = b) + 1) / (count(*) + 4.0) for b in [0, 1, 2, 3]] as p from x group by all)
 select 1""".replace("[(count(*) filter (base = b) + 1) / (count(*) + 4.0) for b in [0, 1, 2, 3]]", "[" + ", ".join(f"(count(*) filter (base = {b}) + 1) / (count(*) + 4.0)" for b in range(4)) + "]").replace("select 1", f"""
@@ -76,7 +94,7 @@ def outgroup_rates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def allele_models(spark: SparkSession, d: str) -> DataFrame:
     gl = _gl(spark, d)
-    return rounded(M.allele_models(M.collected_gl(gl, _alleles(gl))), "unknown_em", "f0", "f1", "f2", "f3", "tri_lrt", "tri_p", digits=4)
+    return rounded(M.allele_models(M.collected_gl(gl, _alleles(gl))).drop("lik"), "unknown_em", "f0", "f1", "f2", "f3", "tri_lrt", "tri_p", digits=4)
 
 
 @query()
@@ -84,11 +102,6 @@ def posterior_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.spectrum_posterior(_sites(spark, d), NEUTRAL, 10), "p0", "p1", "p2", digits=4)
 
 
-@query()
-def heteroplasmy(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.heteroplasmy(pileup(spark, d)), "f0", "f1", "f2", "f3", "lrt", digits=4)
-
-
 def _rank(v: str, name: str) -> str:
     """SQL of one rank test from its histogram."""
     return f"""{name}h as (select chr, pos, {v} as v, count(*) filter (not is_minor) as m1, count(*) filter (is_minor) as m2 from x group by all),

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.functions.genotypes import genotype, harmonic
+from lociforge.functions.genotypes import GENOTYPES, harmonic
+from lociforge.operators import association as A
 from lociforge.operators import counting as C
 from lociforge.operators import errors as X
 from lociforge.operators import estimators as E
@@ -17,7 +18,7 @@ from lociforge.operators import models as M
 from lociforge.operators import pairs as P
 from lociforge.operators import spectrum as S
 from lociforge.plans.counting import _COUNTS
-from lociforge.plans.genetics import _EM, _GL, _LUT, _THREE, NEUTRAL, ROUNDS, _freq, _gl, _l3, _saf, _sites, rounded
+from lociforge.plans.genetics import _BEST, _EM, _GL, _LUT, _THREE, NEUTRAL, ROUNDS, _alleles, _freq, _gl, _l3, _pheno, _saf, _sites, rounded
 from lociforge.plans.pileup import CTE, SAMPLES, pileup
 
 QUERIES, SQL = {}, {}
@@ -315,3 +316,46 @@ def abba_baba_corrected(spark: SparkSession, d: str) -> DataFrame:
 select chr, pos, (list_position(e, list_max(e)) - 1)::int as base from x""")
 def deepest_bases(spark: SparkSession, d: str) -> DataFrame:
     return C.deepest_base(pileup(spark, d))
+
+
+# estimates with a fixed number of rounds
+
+_MIX = "(r.e / 3 + x[r.b + 1] * (1 - 4 * r.e / 3))"
+
+
+@query(CTE + f""", g as (select chr, pos, sample, list({{'b': base, 'e': pow(10.0, -qs / 10.0)}}) as rs, count(*)::int as depth from r where base between 0 and 3 group by all),
+x as (select chr, pos, sample, depth, rs, list_reduce(range(20), lambda x, i: list_transform([0, 1, 2, 3], lambda k: (x[k + 1] + list_sum(list_transform(rs, lambda r: (case when r.b = k then 1 - r.e else r.e / 3 end) * x[k + 1] / {_MIX}))) / (1 + depth)), [0.25::double, 0.25, 0.25, 0.25]) as x from g)
+select chr, pos, sample, depth, {", ".join(f"round(x[{k + 1}], 4) + 0 as f{k}" for k in range(4))}, round(greatest(0, 2 * (list_sum(list_transform(rs, lambda r: ln({_MIX}))) -
+ list_max(list_transform([0, 1, 2, 3], lambda k: list_sum(list_transform(rs, lambda r: ln(case when r.b = k then 1 - r.e else r.e / 3 end))))))), 3) + 0 as lrt from x""")
+def heteroplasmy(spark: SparkSession, d: str) -> DataFrame:
+    h = M.heteroplasmy(pileup(spark, d), 20, 0.0)
+    return rounded(rounded(h, "f0", "f1", "f2", "f3", digits=4), "lrt", digits=3)
+
+
+def _frequency_sql(ls: str, rounds: int, start: float) -> str:
+    return f"list_reduce(range({rounds}), lambda p, i: list_avg(list_transform({ls}, lambda x: (x.b * 2 * p * (1 - p) + 2 * x.c * p * p) / (2 * (x.a * (1 - p) * (1 - p) + x.b * 2 * p * (1 - p) + x.c * p * p)))), {start}::double)"
+
+
+def _lik_sql(ls: str, p: str) -> str:
+    return f"list_sum(list_transform({ls}, lambda x: ln(greatest(x.a * (1 - {p}) * (1 - {p}) + x.b * 2 * {p} * (1 - {p}) + x.c * {p} * {p}, 1e-300))))"
+
+
+@query(_THREE + f""", h as (select chr, pos, list({{'a': l0, 'b': l1, 'c': l2}} order by sample) as ls, list({{'a': l0, 'b': l1, 'c': l2}} order by sample) filter (sample % 2 = 1) as s1, list({{'a': l0, 'b': l1, 'c': l2}} order by sample) filter (sample % 2 = 0) as s0 from l group by all),
+f as (select *, {_frequency_sql("ls", 25, 0.1)} as p, case when s1 is null then 0 else {_frequency_sql("s1", 25, 0.1)} end as p1, case when s0 is null then 0 else {_frequency_sql("s0", 25, 0.1)} end as p0 from h)
+select chr, pos, round(p, 3) + 0 as freq, round(p1, 3) + 0 as freq_case, round(p0, 3) + 0 as freq_control, round(greatest(0, 2 * (coalesce({_lik_sql("s1", "p1")}, 0) + coalesce({_lik_sql("s0", "p0")}, 0) - {_lik_sql("ls", "p")})), 3) + 0 as lrt from f""")
+def association_case_control(spark: SparkSession, d: str) -> DataFrame:
+    t = A.case_control(_l3(spark, d), _pheno(spark).drop("y").withColumnRenamed("sex", "y"), 25, 0.0)
+    return rounded(t.drop("p_value"), "freq", "freq_case", "freq_control", "lrt", digits=3)
+
+
+_G10 = " + ".join(f"x[{i + 1}] * f[{a + 1}] * f[{b + 1}]{'' if a == b else ' * 2'}" for i, (a, b) in enumerate(GENOTYPES))
+_COPIES = [" + ".join(f"x[{i + 1}] * f[{a + 1}] * f[{b + 1}]{'' if a == b else ' * 2'} * {((a == k) + (b == k)) / 2}" for i, (a, b) in enumerate(GENOTYPES) if k in (a, b)) for k in range(4)]
+
+
+@query(_EM + f""", q as (select chr, pos, list(list_transform(g, lambda v: exp(v)) order by sample) as gs from g where list_max(g) - list_min(g) > 1e-9 group by all),
+z as (select chr, pos, gs, list_reduce(range(15), lambda f, i: [{", ".join(f"list_avg(list_transform(gs, lambda x: ({c}) / ({_G10})))" for c in _COPIES)}], [0.25::double, 0.25, 0.25, 0.25]) as f from q)
+select chr, pos, {", ".join(f"round(f[{k + 1}], 4) + 0 as f{k}" for k in range(4))}, round(list_sum(list_transform(gs, lambda x: ln({_G10}))), 3) + 0 as lik from z""")
+def four_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    gl = _gl(spark, d)
+    t = M.allele_models(M.collected_gl(gl, _alleles(gl)), 15, 0.0)
+    return rounded(rounded(t.select("chr", "pos", "f0", "f1", "f2", "f3", "lik"), "f0", "f1", "f2", "f3", digits=4), "lik", digits=3)
