@@ -97,11 +97,6 @@ def allele_models(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.allele_models(M.collected_gl(gl, _alleles(gl))).drop("lik"), "unknown_em", "f0", "f1", "f2", "f3", "tri_lrt", "tri_p", digits=4)
 
 
-@query()
-def posterior_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.spectrum_posterior(_sites(spark, d), NEUTRAL, 10), "p0", "p1", "p2", digits=4)
-
-
 def _rank(v: str, name: str) -> str:
     """SQL of one rank test from its histogram."""
     return f"""{name}h as (select chr, pos, {v} as v, count(*) filter (not is_minor) as m1, count(*) filter (is_minor) as m2 from x group by all),
@@ -218,9 +213,3 @@ def allele_set_calls(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def coalescence_times(spark: SparkSession, d: str) -> DataFrame:
     return rounded(decode(psmc_windows(spark, d), 12, by=("sample", "chr")), "mean_time")
-
-
-@query()
-def block_spectra(spark: SparkSession, d: str) -> DataFrame:
-    b = S.block_spectra(_saf(spark, d, SAMPLES), 100, 21)
-    return b.select("chr", "block", "n_sites", F.posexplode("sfs").alias("bin", "value")).withColumn("value", F.round("value", 3))

@@ -359,3 +359,30 @@ def four_frequencies(spark: SparkSession, d: str) -> DataFrame:
     gl = _gl(spark, d)
     t = M.allele_models(M.collected_gl(gl, _alleles(gl)), 15, 0.0)
     return rounded(rounded(t.select("chr", "pos", "f0", "f1", "f2", "f3", "lik"), "f0", "f1", "f2", "f3", digits=4), "lik", digits=3)
+
+
+# leave-one-out posteriors and spectra of blocks
+
+
+def _weights(n: int) -> list[list[float]]:
+    p = NEUTRAL / NEUTRAL.sum()
+    return [[float(p[j + g]) * math.comb(2, g) * math.comb(2 * n - 2, j) / math.comb(2 * n, j + g) for j in range(2 * n - 1)] for g in range(3)]
+
+
+@query(_THREE + f""", a as (select chr, pos, list({{'a': l0, 'b': l1, 'c': l2}} order by sample) as ls, count(*) as m from l group by all),
+b as (select chr, pos, list_concat(ls, list_transform(range(10 - m), lambda i: {{'a': 1.0::double, 'b': 1.0::double, 'c': 1.0::double}})) as ls from a),
+k as (select chr, pos, ls, unnest(range(10)) as k from b),
+o as (select chr, pos, k, ls[k + 1] as own, {_steps("list_concat(ls[1:k], ls[k + 2:])", 9)} as s from k),
+w as (select chr, pos, k, {", ".join(f"own.{c} * list_inner_product(list_transform(s, lambda v: exp(v - list_max(s))), {w!r}) as w{g}" for g, (c, w) in enumerate(zip("abc", _weights(10))))} from o)
+select chr, pos, k::int as k, round(w0 / (w0 + w1 + w2), 4) + 0 as p0, round(w1 / (w0 + w1 + w2), 4) + 0 as p1, round(w2 / (w0 + w1 + w2), 4) + 0 as p2 from w""")
+def posterior_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.spectrum_posterior(_sites(spark, d), NEUTRAL, 10), "p0", "p1", "p2", digits=4)
+
+
+@query(_THREE + _saf_sql("sf", SAMPLES) + """, n as (select chr, (row_number() over (partition by chr order by pos) - 1) // 100 as block, list_transform(s, lambda v: exp(v)) as s from sf),
+bl as (select chr, block, list(s) as s, count(*) as n_sites from n group by all),
+x as (select chr, block, n_sites, list_reduce(range(50), lambda x, i: list_transform(range(21), lambda k: list_avg(list_transform(s, lambda v: v[k + 1] * x[k + 1] / list_inner_product(v, x)))), list_transform(range(21), lambda k: 1 / 21.0::double)) as x from bl)
+select chr, block::bigint as block, n_sites, unnest(range(21))::int as bin, round(unnest(x) * n_sites, 3) + 0 as value from x""")
+def block_spectra(spark: SparkSession, d: str) -> DataFrame:
+    b = S.block_spectra(_saf(spark, d, SAMPLES), 100, 21)
+    return b.select("chr", "block", "n_sites", F.posexplode("sfs").alias("bin", "value")).withColumn("value", F.round("value", 3) + F.lit(0.0))

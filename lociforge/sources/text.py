@@ -179,6 +179,13 @@ def sites(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*cols)
 
 
+def site_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """``chr, start, stop`` (0-based, half open) of a file of contig, start and end, as they stand: for ``in_regions``, which joins on position tiles, so
+    that long ranges aren't spelled out position by position."""
+    f = spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), "\\s+").alias("f")).where(F.size("f") == 3)
+    return f.select(F.get("f", F.lit(0)).alias("chr"), (F.get("f", F.lit(1)).cast("int") - 1).alias("start"), F.get("f", F.lit(2)).cast("int").alias("stop"))
+
+
 def parse_region(text: str) -> tuple[str, int, int | None]:
     """A region ``chr``, ``chr:``, ``chr:a-``, ``chr:-b``, ``chr:a-b`` or ``chr:a`` (1-based, inclusive) as contig, 0-based start and stop (None: the end)."""
     m = REGION.match(text.strip())

@@ -77,3 +77,25 @@ def test_formats_by_name():
     assert [formats.format_of(p) for p in ("a/b.bam", "x.beagle.gz", "y.fa", "z.saf.thetas", "d.haplo/", "m.pileup.gz", "i.icnts.gz")] == ["bam", "beagle", "fasta", "thetas", "haplo", "mpileup", "icounts"]
     with pytest.raises(ValueError):
         formats.format_of("x.unknown")
+
+
+def test_variant_and_plink_files(spark, tmp_path):
+    from lociforge.sources import blocks, sinks, text
+
+    rows = [("1", 4, 0, 2, 0, 1, 7, 0.1, 1.0, 0.01, 0.1, 0.9, 0.0), ("1", 4, 0, 2, 1, -1, 2, 1.0, 1.0, 1.0, 0.4, 0.3, 0.3)]
+    calls = spark.createDataFrame(rows, "chr string, pos int, major int, minor int, sample int, geno int, depth int, l0 double, l1 double, l2 double, p0 double, p1 double, p2 double")
+    line = sinks.vcf_full_lines(calls, [0, 1, 2]).first()["value"].split("\t")
+    assert line[:5] == ["1", "5", ".", "A", "G"] and line[7] == "NS=2;DP=9;AF=0.450000"
+    assert line[9] == "0/1:7:-1.000000,0.000000,-2.000000:10,0,20:0.100000,0.900000,0.000000" and line[10].startswith("./.:2:") and line[11] == "./.:.:.:.:."
+    more = spark.createDataFrame([("1", p, s, (p + s) % 4 - 1) for p in range(9) for s in range(5)], "chr string, pos int, sample int, geno int")
+    out = str(tmp_path / "bed")
+    names = blocks.write_binary(sinks.bed_rows(more.coalesce(1), list(range(5))), out, "chr", "pos")
+    body = b"".join((tmp_path / "bed" / n).read_bytes() for n in names)
+    import numpy as np
+
+    assert body == sinks.bed_bytes(np.array([[(p + s) % 4 - 1 for s in range(5)] for p in range(9)]))[3:]
+    assert sinks.bim_lines(calls).first()["value"] == "1\t1_5\t0\t5\tG\tA"
+    f = spark.createDataFrame([("1", 4, 1, 0, 2, 0.1, 0.2, 3)], "chr string, pos int, major int, minor int, ref int, freq double, phat double, n int")
+    assert sinks.mafs(f, phat="phat").columns == ["chromo", "position", "major", "minor", "ref", "knownEM", "phat", "nInd"]
+    (tmp_path / "r").write_text("1\t5\t9\n\n2 7 8\n1 3\n")
+    assert sorted(tuple(r) for r in text.site_ranges(spark, str(tmp_path / "r")).collect()) == [("1", 4, 9), ("2", 6, 8)]
