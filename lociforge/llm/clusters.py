@@ -25,11 +25,13 @@ BLOCK = 512
 HELD = 32768
 #: Probabilities are compared as multiples of 1 / SCALE, and the radius is widened by twice the rounding.
 SCALE, SLACK = 60000, 2e-5
-#: A cluster of up to so many records is compared within itself; of a larger one the SHORTLIST records nearest to its mean profile are
-#: compared with all its members.
-WHOLE, SHORTLIST = 1024, 64
+#: A cluster of up to so many records is compared within itself; a larger one is read in portions of about so many, PARTS of them side by side.
+WHOLE, PARTS = 1024, 4
+#: Of a larger cluster, so many members with the smallest lower bounds of their mean distance are compared with all first.
+FIRST = 64
+#: Bins of the histograms behind the bounds, and the most individuals for which counts of pairs of individuals sharpen them.
+BINS, PAIRED = 32, 512
 _CELL = "panel_id int, nind int, cell bigint, rec_id bigint, vec binary"
-_SUMS = "cluster_id bigint, nind int, sums binary"
 _LOCAL = "rec_id bigint, local_id bigint"
 _RANKED = "cluster_id bigint, size bigint, medoid_rank int, rec_id bigint, mean_distance double"
 
@@ -375,14 +377,19 @@ def _whole(raw: list[bytes], nind: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distances(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray) -> np.ndarray:
-    """Distances of each record of x from each of y, NaN where they share no individual."""
-    out = np.empty((len(x), len(y)))
-    for k in range(len(x)):
-        both = xi[k] & yi
-        total = (np.abs(x[k] - y).sum(axis=2, dtype=np.int64) * both).sum(axis=1)
-        n = both.sum(axis=1)
-        out[k] = np.where(n > 0, total / (2 * SCALE * np.maximum(n, 1)), np.nan)
-    return out
+    """Distances of each record of x from each of y, NaN where they share no individual.
+
+    What a record has at the individuals that the other lacks is part of the difference of the whole rows, and is taken off again.
+    """
+    a, b = x.reshape(len(x), -1), y.reshape(len(y), -1)
+    total = np.empty((len(x), len(y)))
+    part = np.empty_like(b)
+    for k in range(len(a)):
+        np.subtract(b, a[k], out=part)
+        total[k] = np.abs(part, out=part).sum(axis=1, dtype=np.int64)
+    total -= x.sum(axis=2).astype(float) @ (~yi.T).astype(float) + (~xi).astype(float) @ y.sum(axis=2).T.astype(float)
+    n = xi.astype(float) @ yi.T.astype(float)
+    return np.where(n > 0, total / (2 * SCALE * np.maximum(n, 1)), np.nan)
 
 
 def _mean_distance(d: np.ndarray) -> np.ndarray:
@@ -425,46 +432,154 @@ def _small_medoids(batches: Iterator[pa.RecordBatch], typical: int) -> Iterator[
     yield _ranked(out)
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the triples and numbers of informed members of each cluster in a batch."""
-    for b in batches:
-        for (n, cluster), at in _groups(b["nind"], b["cluster_id"]):
-            t, info = _unpack(b["vec"].take(pa.array(at)).to_pylist(), n)
-            sums = np.concatenate([t.sum(axis=0, dtype=np.float64), info.sum(axis=0)[:, None]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([cluster], pa.int64()), pa.array([n], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["cluster_id", "nind", "sums"])
+def _members(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _whole(rows["vec"].to_pylist(), rows["nind"][0].as_py())
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cluster: the sums of each are added up."""
-    for rows in _runs(batches):
-        total = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([rows[0]["cluster_id"]], pa.int64()), pa.array([rows[0]["nind"]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["cluster_id", "nind", "sums"])
+def _edges(key: tuple, sample: pa.Table) -> pa.Table:
+    """Edges (individuals x 3 x BINS - 1) between bins that hold about as many members of a sample each; any edges give valid bounds."""
+    x, info = _members(sample)
+    edges = np.zeros((x.shape[1], BINS - 1, 3), np.int32)
+    for k in range(x.shape[1]):
+        v = np.sort(x[info[:, k], k], axis=0)
+        if len(v):
+            edges[k] = v[np.arange(1, BINS) * len(v) // BINS]
+    return pa.table({"cluster_id": pa.array([key[0].as_py()], pa.int64()), "edges": pa.array([edges.transpose(0, 2, 1).tobytes()], pa.binary())})
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distance of each member to its cluster's mean profile, over the individuals it has."""
-    for b in batches:
-        for (n,), at in _groups(b["nind"]):
-            at = pa.array(at)
-            t, m = _unpack(b["vec"].take(at).to_pylist(), n)
-            sums = np.frombuffer(b"".join(b["sums"].take(at).to_pylist())).reshape(len(at), n, 4)
-            mean = sums[:, :, :3] / np.maximum(sums[:, :, 3:], 1)
-            far = (0.5 * np.abs(t - mean).sum(axis=2) * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1)
-            yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in ("rec_id", "cluster_id", "nind", "vec")), pa.array(far, pa.float64())], ["rec_id", "cluster_id", "nind", "vec", "spread"])
+def histograms(x: np.ndarray, info: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """One row an individual, all of which add up over portions: the number of members; for each genotype and bin the number and sum of the
+    values, plain and times the member's informed individuals; for each other individual that a member lacks, the number of members and
+    their summed distance from the middle edges."""
+    n, nind, _ = x.shape
+    own = info.sum(axis=1).astype(float)[:, None]
+    hist = np.empty((nind, 4, 3 * BINS))
+    for k in range(nind):
+        v, w = x[:, k].astype(float), np.broadcast_to(info[:, k, None], (n, 3))
+        at = np.stack([np.searchsorted(edges[k, c], x[:, k, c], "right") + c * BINS for c in range(3)], axis=1).ravel()
+        hist[k] = [np.bincount(at, z.ravel(), 3 * BINS) for z in (w * 1.0, w * v, w * own, w * v * own)]
+    parts = [np.full((nind, 1), float(n)), hist.reshape(nind, -1)]
+    if nind <= PAIRED:
+        lacks = (~info).astype(float)
+        parts += [info.T.astype(float) @ lacks, _from_middle(x, info, edges).T @ lacks]
+    return np.hstack(parts)
 
 
-def _candidate_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summed distances of each cluster's candidates from the members at hand."""
-    for b in batches:
-        for (n, cluster), at in _groups(b["nind"], b["cluster_id"]):
-            rec = np.asarray(b["rec_id"])[at]
-            y, yi = _whole(b["vec"].take(pa.array(at)).to_pylist(), n)
-            cands = b["cands"][int(at[0])].as_py()
-            ids = np.array([c["rec_id"] for c in cands])
-            d = distances(*_whole([c["vec"] for c in cands], n), y, yi)
-            d[ids[:, None] == rec] = np.nan
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, cluster, np.int64)), pa.array(ids, pa.int64()), pa.array(np.nansum(d, axis=1)), pa.array((~np.isnan(d)).sum(axis=1).astype(np.int64))], ["cluster_id", "rec_id", "far", "n"])
+def _from_middle(x: np.ndarray, info: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.abs(x - edges[:, :, BINS // 2]).sum(axis=2) * info.astype(float)
+
+
+def least_mean_distance(x: np.ndarray, info: np.ndarray, edges: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A lower bound of each record's mean distance to the other members of its cluster, of which ``table`` has the added histograms.
+
+    With a the summed difference of two members over the r individuals that both have, the sum of a / r is at least (sum of a)^2 / (sum of a * r).
+    Sums of differences from all members follow from the counts and sums of the bins, but for the record's own bin, where the difference of
+    the sums is a lower bound and the chord over the bin an upper one.  r is at most the informed individuals of either; it is their
+    sum less all individuals plus those that both lack, whose share in the sum is bounded by way of the middle edges.
+    """
+    n, nind, _ = x.shape
+    own = info.sum(axis=1).astype(float)
+    least, most, most_own = np.zeros(n), np.zeros(n), np.zeros(n)
+    hist = table[:, 1 : 1 + 12 * BINS].reshape(nind, 2, 2, 3, BINS)
+    for k in range(nind):
+        for c in range(3):
+            v, edge = x[:, k, c].astype(float), edges[k, c]
+            at = np.searchsorted(edge, x[:, k, c], "right")
+            low, high = np.r_[0, edge][at], np.r_[edge, SCALE + 1][at]
+            share = (v - low) / np.maximum(high - low, 1)
+            for weighted in (0, 1):
+                count, total = hist[k, weighted, :, c]
+                below, under = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(total)]
+                other = below[at] * v - under[at] + (under[-1] - under[at + 1]) - v * (below[-1] - below[at + 1])
+                chord = (1 - share) * (total[at] - count[at] * low) + share * (count[at] * high - total[at])
+                if weighted:
+                    most_own += info[:, k] * (other + chord)
+                else:
+                    least += info[:, k] * (other + np.abs(count[at] * v - total[at]))
+                    most += info[:, k] * (other + chord)
+    weight = np.minimum(own * most, most_own)
+    if nind <= PAIRED:
+        number, far = np.split(table[:, 1 + 12 * BINS :], 2, axis=1)
+        both_lack = ((_from_middle(x, info, edges) @ number + info.astype(float) @ far) * ~info).sum(axis=1)
+        weight = np.minimum(weight, most_own - (nind - own) * least + both_lack)
+    bound = np.where((least > 0) & (weight > 0), least**2 / np.where(weight > 0, weight, 1), 0)
+    return bound * (1 - 1e-9) / (2 * SCALE * max(table[0, 0] - 1, 1))
+
+
+def _tables(key: tuple, members: pa.Table, bins: pa.Table) -> pa.Table:
+    rows = np.empty((0, 0))
+    if len(members):
+        x, info = _members(members)
+        rows = histograms(x, info, np.frombuffer(bins["edges"][0].as_py(), np.int32).reshape(-1, 3, BINS - 1))
+    return pa.table({"cluster_id": pa.array([key[0].as_py()] * len(rows), pa.int64()), "k": pa.array(range(len(rows)), pa.int32()), "sums": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    total = np.zeros(len(rows["sums"][0].as_py()) // 8)
+    for r in rows["sums"]:
+        total += np.frombuffer(r.as_py())
+    return pa.table({"cluster_id": pa.array([key[0].as_py()], pa.int64()), "k": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _bounded(members: pa.Table, bins: pa.Table) -> pa.Table:
+    least = np.empty(0)
+    if len(members):
+        x, info = _members(members)
+        sums = sorted((r["k"], r["sums"]) for r in bins["sums"][0].as_py())
+        table = np.frombuffer(b"".join(r for _, r in sums)).reshape(x.shape[1], -1)
+        least = least_mean_distance(x, info, np.frombuffer(bins["edges"][0].as_py(), np.int32).reshape(-1, 3, BINS - 1), table)
+    return members.select(["cluster_id", "rec_id", "nind", "vec"]).append_column("least", pa.array(least, pa.float64()))
+
+
+def _compared(key: tuple, members: pa.Table, candidates: pa.Table) -> pa.Table:
+    """Summed distances of the candidates from the members at hand, and their numbers."""
+    ids = np.asarray(candidates["rec_id"])
+    far, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+    for at in range(0, len(members), WHOLE):
+        some = members.slice(at, WHOLE)
+        y, yi = _members(some)
+        rec = np.asarray(some["rec_id"])
+        for lo in range(0, len(ids), BLOCK):
+            d = distances(*_members(candidates.slice(lo, BLOCK)), y, yi)
+            d[ids[lo : lo + BLOCK, None] == rec] = np.nan
+            far[lo : lo + BLOCK] += np.nansum(d, axis=1)
+            n[lo : lo + BLOCK] += (~np.isnan(d)).sum(axis=1)
+    return pa.table({"cluster_id": pa.array([key[0].as_py()] * len(ids), pa.int64()), "rec_id": pa.array(ids, pa.int64()), "far": pa.array(far), "n": pa.array(n)})
+
+
+def _mean_distances(members: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+    """``cluster_id, rec_id, mean_distance`` of candidates: blocks of about ``block`` are compared with each part of their cluster."""
+    by = ["cluster_id", "part", "block"]
+    blocks = candidates.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    parts = members.groupBy("cluster_id").agg(F.max("part").alias("__last")).select("cluster_id", F.explode(F.sequence(F.lit(0), "__last")).alias("part"))
+    left = members.join(blocks, "cluster_id").select("cluster_id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rec_id", "nind", "vec")
+    dealt = candidates.join(blocks, "cluster_id").withColumn("block", F.pmod(F.xxhash64("rec_id", F.lit(1)), "blocks").cast("int"))
+    right = dealt.join(parts, "cluster_id").select(*by, "rec_id", "nind", "vec")
+    far = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_compared, "cluster_id bigint, rec_id bigint, far double, n bigint")
+    return far.groupBy("cluster_id", "rec_id").agg((F.sum("far") / F.greatest(F.sum("n"), F.lit(1))).alias("mean_distance"))
+
+
+def _large_medoids(large: DataFrame, typical: int, whole: int) -> DataFrame:
+    """``cluster_id, rec_id, mean_distance`` of all members that can be medoids, compared with their whole cluster."""
+    by = ["cluster_id", "salt"]
+    ends = large.groupBy("cluster_id").agg(F.min("salt").alias("salt"), F.max("salt").alias("__last"))
+    portions = ends.select("cluster_id", F.explode(F.sequence(F.lit(0), "__last")).alias("salt"))
+    edges = cut(large.join(ends.select(*by), by, "left_semi").groupBy("cluster_id").applyInArrow(_edges, "cluster_id bigint, edges binary"))
+    tables = large.groupBy(*by).cogroup(edges.join(portions, "cluster_id").groupBy(*by)).applyInArrow(_tables, "cluster_id bigint, k int, sums binary")
+    tables = tables.groupBy("cluster_id", "k").applyInArrow(_added, "cluster_id bigint, k int, sums binary")
+    tables = cut(tables.groupBy("cluster_id").agg(F.collect_list(F.struct("k", "sums")).alias("sums")).join(edges, "cluster_id"))
+    bounds = large.groupBy(*by).cogroup(tables.join(portions, "cluster_id").groupBy(*by))
+    bounds = cut(bounds.applyInArrow(_bounded, "cluster_id bigint, rec_id bigint, nind int, vec binary, least double"))
+    members = large.withColumn("part", F.floor(F.col("salt") / PARTS).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("least", "rec_id"))
+    first = cut(_mean_distances(members, bounds.withColumn("k", rank).where(F.col("k") <= max(FIRST, typical)), PARTS * whole))
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("mean_distance"))
+    limit = first.withColumn("k", rank).where(F.col("k") <= typical).groupBy("cluster_id").agg(F.max("mean_distance").alias("limit"))
+    open_ = bounds.join(limit, "cluster_id").where(F.col("least") <= F.col("limit") + 2e-6)  # means are ranked rounded to 1e-6
+    open_ = cut(open_.join(first.select("cluster_id", "rec_id"), ["cluster_id", "rec_id"], "left_anti"))
+    if open_.limit(1).count() == 0:
+        return first
+    return first.unionByName(_mean_distances(members, open_, PARTS * whole))
 
 
 def typical_members(records: DataFrame, labels: DataFrame, typical: int = 3, whole: int = WHOLE) -> DataFrame:
@@ -472,8 +587,9 @@ def typical_members(records: DataFrame, labels: DataFrame, typical: int = 3, who
     mean distance to the other members they share an individual with (ties by 1e-6: the smaller rec_id first).
 
     Members are brought together once, by cluster, a cluster of more than ``whole`` records in portions of about so many.  A smaller
-    cluster is compared within itself.  Of a larger one, sums of the portions make a mean profile, the SHORTLIST members nearest to it are
-    compared with all members, portion by portion, and the medoids are the best of these.
+    cluster is compared within itself.  In a larger one, histograms added up over the portions give a lower bound of each member's mean distance;
+    the FIRST members by it are compared with all others, and then every member whose bound doesn't rule it out.  The medoids are exact at
+    any size; where little is ruled out (half of the individuals missing, say) the work grows with the square of the cluster.
     """
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     sized = labels.join(sizes, "cluster_id")
@@ -485,14 +601,7 @@ def typical_members(records: DataFrame, labels: DataFrame, typical: int = 3, who
     large = rows.where(F.col("size") > whole)
     if large.limit(1).count() == 0:
         return small
-    portions = large.groupBy("cluster_id").agg(F.max("salt").alias("__last")).select("cluster_id", F.explode(F.sequence(F.lit(0), "__last")).alias("salt"))
-    sums = large.select("cluster_id", "nind", "vec").mapInArrow(_profiles, _SUMS).repartition("cluster_id").sortWithinPartitions("cluster_id").mapInArrow(_added, _SUMS)
-    near = large.join(portions.join(sums.drop("nind"), "cluster_id"), ["cluster_id", "salt"]).select("rec_id", "cluster_id", "nind", "vec", "sums")
-    near = near.mapInArrow(_spread, "rec_id bigint, cluster_id bigint, nind int, vec binary, spread double")
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("spread", "rec_id"))
-    short = near.withColumn("k", rank).where(F.col("k") <= SHORTLIST).groupBy("cluster_id").agg(F.collect_list(F.struct("rec_id", "vec")).alias("cands"))
-    far = large.join(portions.join(short, "cluster_id"), ["cluster_id", "salt"]).select("cluster_id", "rec_id", "nind", "vec", "cands").mapInArrow(_candidate_sums, "cluster_id bigint, rec_id bigint, far double, n bigint")
-    far = far.groupBy("cluster_id", "rec_id").agg((F.sum("far") / F.greatest(F.sum("n"), F.lit(1))).alias("mean_distance"))
+    far = _large_medoids(large, typical, whole)
     best = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.round("mean_distance", 6), "rec_id")).cast("int")
     ranked = far.withColumn("medoid_rank", best).where(F.col("medoid_rank") <= typical).join(sizes, "cluster_id")
     return small.unionByName(ranked.select("cluster_id", "size", "medoid_rank", "rec_id", "mean_distance"))

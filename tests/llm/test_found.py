@@ -206,6 +206,53 @@ def test_typical_members_are_those_of_the_whole_cluster(spark, monkeypatch):
         assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-4 for k in want)
 
 
+def lopsided(rng, n, nind):
+    """Records whose mean profile lies among a few decoys, away from the medoids."""
+    kind = rng.choice([0.05, 0.35, 0.85], n, p=[0.55, 0.21, 0.24])
+    b = kind[:, None] + rng.uniform(-0.05, 0.05, (n, nind)) * rng.uniform(0, 1, (n, 1))
+    g = np.stack([1 - b, b * 0.6, b * 0.4], axis=2)
+    g[rng.random((n, nind)) < rng.choice([0, 0.1, 0.4], n)[:, None]] = 1 / 3
+    g[:, 0] = np.stack([1 - b, b * 0.6, b * 0.4], axis=2)[:, 0]
+    return g
+
+
+def test_medoids_of_large_clusters_are_exact(spark):
+    n, nind, rng = 400, 7, np.random.default_rng(12)
+    g = lopsided(rng, n, nind)
+    x, info = clusters._whole([v.tobytes() for v in clusters._pack(*clusters.triples(g.reshape(n, -1), nind))], nind)
+    both = info[:, None] & info[None]
+    d = (np.abs(x[:, None] - x[None]).sum(axis=3) * both).sum(axis=2) / (2 * clusters.SCALE * both.sum(axis=2))
+    far = d.sum(axis=1) / (n - 1)
+    want = [(k + 1, int(i), n) for k, i in enumerate(np.lexsort((np.arange(n), np.round(far, 6)))[:3])]
+    df = spark.createDataFrame([(k, 1, nind, v.ravel().tolist()) for k, v in enumerate(g)], "rec_id bigint, panel_id int, nind int, genos array<double>")
+    labels = df.selectExpr("rec_id", "0L as cluster_id")
+    for whole in (1024, 100, 9):
+        got = clusters.typical_members(df, labels, whole=whole).orderBy("medoid_rank").collect()
+        assert [(r["medoid_rank"], r["rec_id"], r["size"]) for r in got] == want
+        assert [r["mean_distance"] for r in got] == pytest.approx([far[i] for _, i, _ in want], abs=1e-9)
+
+
+@pytest.mark.parametrize("paired", [512, 0])
+def test_bounds_of_mean_distances_hold(monkeypatch, paired):
+    monkeypatch.setattr(clusters, "PAIRED", paired)
+    rng = np.random.default_rng(13)
+    for missing in (0, 0.1, 0.5, 0.95):
+        g = np.concatenate([lopsided(rng, 120, 9), np.eye(3)[rng.integers(0, 3, (60, 9))], rng.dirichlet([0.3] * 3, (60, 9))])
+        g[rng.random(g.shape[:2]) < missing] = 1 / 3
+        x, info = clusters._whole([v.tobytes() for v in clusters._pack(*clusters.triples(g.reshape(len(g), -1), 9))], 9)
+        d = clusters.distances(x, info, x, info)
+        one = [[np.nan if not (m := info[i] & info[j]).any() else np.abs(x[i] - x[j])[m].sum() / (2 * clusters.SCALE * m.sum()) for j in range(len(x))] for i in range(len(x))]
+        assert np.allclose(d, one, atol=1e-12, equal_nan=True)
+        np.fill_diagonal(d, np.nan)
+        far = clusters._mean_distance(d)
+        for edges in (np.sort(rng.integers(0, clusters.SCALE, (9, 3, clusters.BINS - 1)), axis=2), np.zeros((9, 3, clusters.BINS - 1), int)):
+            table = clusters.histograms(x[:100], info[:100], edges) + clusters.histograms(x[100:], info[100:], edges)
+            least = clusters.least_mean_distance(x, info, edges, table)
+            assert (least <= far).all()
+        if not missing:
+            assert least.max() > 0
+
+
 def test_slices_keep_every_link(spark):
     rng = np.random.default_rng(11)
     nind, rows = 40, []
